@@ -543,7 +543,7 @@ def get_code_status(spark, sf):
 
 @query
 def get_code_lists(spark, sf):
-    return _code_run(spark, sf).lists
+    return _code_run(spark, sf).lists()
 
 
 @query

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanwork.functions.urls import host_domains
-from gleanwork.operators.skew import ROWS_PER_TASK, heavy_keys, key_counts, split_join
+from gleanwork.operators.skew import ROWS_PER_TASK, key_load, split_join
 from gleanwork.session import stage
 
 
@@ -77,36 +77,31 @@ def crawl(
     )
     edges = stage(allowed_edges(links, start, max_pages), "edges")
     keys = ["node", "domain"]
-    edge_counts = key_counts(edges, keys)
+    # with a limit no page keeps more than 2 * max_pages edges; without one hubs are hot as well
+    hubs = None if max_pages is not None else key_load(edges, keys, rows_per_task)
     seen = start if include_seed else start.filter(F.lit(False))
     frontier = start
     for level in range(1, depth + 1):
         frontier = frontier.filter(F.col("_deep") >= level)
-        if frontier.isEmpty():
+        load = key_load(frontier, keys, rows_per_task)
+        if load.empty:
             break
-        found = _expand(frontier, edges, edge_counts, keys, max_pages, rows_per_task)
-        merged = seen.unionByName(found.withColumn("depth", F.lit(level)))
+        found = (
+            split_join(frontier, edges, keys, ["seed"], load, right_spread=["dst"], right_load=hubs)
+            .select("seed", "domain", "_deep", "_most", F.col("dst").alias("node"), F.lit(level).alias("depth"))
+        )
+        merged = seen.unionByName(found)
         if max_pages is not None:
             # a limited crawl is small, so one shuffle by seed serves both steps below
             merged = merged.repartition("seed")
         merged = merged.groupBy("seed", "domain", "node", "_deep", "_most").agg(F.min("depth").alias("depth"))
         if max_pages is not None:
-            merged = page_cap(merged, max_pages) if "max_pages" not in seeds.columns else _own_cap(merged, max_pages)
+            merged = _own_cap(merged, max_pages)
         seen = stage(merged.select(start.columns), "seen")
         frontier = seen.filter(F.col("depth") == level)
     return seen.select("seed", "node", "depth")
 
 
-def _expand(frontier, edges, edge_counts, keys, max_pages, rows_per_task) -> DataFrame:
-    """Nodes one link away from the frontier, per seed."""
-    heavy = heavy_keys(key_counts(frontier, keys), keys, "_n", rows_per_task)
-    carried = ["seed", "domain", "_deep", "_most"]
-    # with a limit no page keeps more than 2 * max_pages edges; without one hubs are hot as well
-    hubs = None if max_pages is not None else heavy_keys(edge_counts, keys, "_n", rows_per_task)
-    joined = split_join(frontier, edges, keys, ["seed"], heavy, right_spread=["dst"], right_heavy=hubs)
-    return joined.select(*carried, F.col("dst").alias("node")).distinct()
-
-
 def _own_cap(merged: DataFrame, max_pages: int) -> DataFrame:
     """Page limit that differs by seed, within the common bound."""
     window = Window.partitionBy("seed").orderBy("depth", "node")

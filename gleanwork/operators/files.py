@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions.urls import raw_file_url, relative_dir
 from gleanwork.model import BRANCH_CANDIDATES
-from gleanwork.operators.skew import ROWS_PER_TASK, heavy_keys, key_counts, split_join
+from gleanwork.operators.skew import ROWS_PER_TASK, key_load, split_join
 
 
 def first_branch(branches: DataFrame) -> DataFrame:
@@ -43,9 +43,9 @@ def ingest_with_fallback(
     if not fallback:
         return local.unionByName(rest.withColumn("status", F.lit("failed")))
     known = raw_available.select("raw_url").distinct().withColumn("_known", F.lit(True))
-    heavy = heavy_keys(key_counts(rest, ["raw_url"]), ["raw_url"], "_n", rows_per_task)
+    load = key_load(rest, ["raw_url"], rows_per_task)
     looked_up = (
-        split_join(rest, known, ["raw_url"], spread or ["dir", "file"], heavy, "left")
+        split_join(rest, known, ["raw_url"], spread or ["dir", "file"], load, "left")
         .withColumn("status", F.when(F.col("_known"), "raw").otherwise("failed"))
         .drop("_known")
     )

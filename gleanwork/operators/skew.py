@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleanwork.session import stage
 
@@ -13,34 +16,60 @@ ROWS_PER_TASK = 1_000_000
 MAX_HEAVY_KEYS = 1_000
 
 
-def heavy_keys(counts: DataFrame, on: list[str], n: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Keys to spread, with the number of splits: at most ``MAX_HEAVY_KEYS`` rows.
+@dataclass
+class KeyLoad:
+    """The most frequent keys of a table, at most ``MAX_HEAVY_KEYS`` of them."""
 
-    ``counts`` holds exact row counts per key, so every use of the result, also a
-    recomputed one, gives a key the same number of splits.
-    """
-    return (
-        counts.filter(F.col(n) > rows_per_task)
-        .orderBy(F.col(n).desc(), *on)
-        .limit(MAX_HEAVY_KEYS)
-        .select(*on, F.ceil(F.col(n) / rows_per_task).cast("int").alias("_splits"))
-    )
+    on: list[str]
+    top: list[Row]
+    schema: StructType
+    rows_per_task: int
+
+    @property
+    def empty(self) -> bool:
+        return not self.top
+
+    def splits(self, spark: SparkSession) -> DataFrame | None:
+        """Number of splits per key to spread, None when no key is that heavy."""
+        heavy = [row for row in self.top if row["_n"] > self.rows_per_task]
+        if not heavy:
+            return None
+        table = spark.createDataFrame(heavy, self.schema)
+        return table.select(*self.on, F.ceil(F.col("_n") / self.rows_per_task).cast("int").alias("_splits"))
 
 
 def key_counts(df: DataFrame, on: list[str]) -> DataFrame:
     return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _spread(df: DataFrame, on: list[str], by: list[str], heavy: DataFrame, split: str) -> DataFrame:
+def load_of(counts: DataFrame, on: list[str], rows_per_task: int = ROWS_PER_TASK) -> KeyLoad:
+    """Look up the most frequent keys in exact ``counts(on, _n)``.
+
+    This runs a job whose result has a fixed size. Mostly no key is heavy and the
+    joins that follow stay plain.
+    """
+    ordered = counts.select(*on, "_n").orderBy(F.col("_n").desc(), *on)
+    return KeyLoad(on, ordered.take(MAX_HEAVY_KEYS), ordered.schema, rows_per_task)
+
+
+def key_load(df: DataFrame, on: list[str], rows_per_task: int = ROWS_PER_TASK) -> KeyLoad:
+    return load_of(key_counts(df, on), on, rows_per_task)
+
+
+def _spread(df: DataFrame, on: list[str], by: list[str], splits: DataFrame | None, name: str) -> DataFrame:
     """Give each row of a heavy key one split number by a hash of the ``by`` columns."""
+    if splits is None:
+        return df
     number = F.pmod(F.xxhash64(*by), F.coalesce("_splits", F.lit(1))).cast("int")
-    return df.join(F.broadcast(heavy), on, "left").withColumn(split, number).drop("_splits")
+    return df.join(F.broadcast(splits), on, "left").withColumn(name, number).drop("_splits")
 
 
-def _repeat(df: DataFrame, on: list[str], heavy: DataFrame, split: str) -> DataFrame:
+def _repeat(df: DataFrame, on: list[str], splits: DataFrame | None, name: str) -> DataFrame:
     """Repeat each row of a heavy key once per split number."""
+    if splits is None:
+        return df
     numbers = F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)
-    return df.join(F.broadcast(heavy), on, "left").withColumn(split, F.explode(numbers)).drop("_splits")
+    return df.join(F.broadcast(splits), on, "left").withColumn(name, F.explode(numbers)).drop("_splits")
 
 
 def split_join(
@@ -48,33 +77,36 @@ def split_join(
     right: DataFrame,
     on: list[str],
     spread: list[str],
-    heavy: DataFrame,
+    load: KeyLoad,
     how: str = "inner",
     right_spread: list[str] | None = None,
-    right_heavy: DataFrame | None = None,
+    right_load: KeyLoad | None = None,
 ) -> DataFrame:
     """Equi-join in which the rows of a heavy key go to several tasks.
 
     Left rows are spread by a hash of the ``spread`` columns; the right rows of the
     same key are repeated once per split, so the result is that of the plain join.
     Works for inner, left, left_semi and left_anti. For keys heavy on both sides an
-    inner join takes ``right_heavy`` too and cuts the key into a grid. Only the heavy
+    inner join takes ``right_load`` too and cuts the key into a grid. Only the heavy
     key lists are broadcast and their size is fixed.
     """
-    keys = [*on, "_split"]
-    left = _spread(left, on, spread, heavy, "_split")
-    right = _repeat(right, on, heavy, "_split")
-    if right_heavy is not None:
-        if how != "inner":
-            raise ValueError("both sides can be spread in an inner join only")
+    if right_load is not None and how != "inner":
+        raise ValueError("both sides can be spread in an inner join only")
+    spark = left.sparkSession
+    keys = list(on)
+    by_left = load.splits(spark)
+    by_right = right_load.splits(spark) if right_load is not None else None
+    left = _repeat(_spread(left, on, spread, by_left, "_split"), on, by_right, "_cut")
+    right = _spread(_repeat(right, on, by_left, "_split"), on, right_spread or on, by_right, "_cut")
+    if by_left is not None:
+        keys.append("_split")
+    if by_right is not None:
         keys.append("_cut")
-        right = _spread(right, on, right_spread, right_heavy, "_cut")
-        left = _repeat(left, on, right_heavy, "_cut")
     return left.join(right, keys, how).drop("_split", "_cut")
 
 
 def join_present(
-    left: DataFrame, right: DataFrame, on: list[str], spread: list[str], heavy: DataFrame | None = None
+    left: DataFrame, right: DataFrame, on: list[str], spread: list[str], load: KeyLoad | None = None
 ) -> DataFrame:
     """Left join that keeps rows without a key out of the shuffle.
 
@@ -85,10 +117,10 @@ def join_present(
     for name in on:
         has_key = has_key & F.col(name).isNotNull()
     present = left.filter(has_key)
-    if heavy is None:
+    if load is None:
         joined = present.join(right, on, "left")
     else:
-        joined = split_join(present, right, on, spread, heavy, "left")
+        joined = split_join(present, right, on, spread, load, "left")
     return joined.unionByName(left.filter(~has_key), allowMissingColumns=True)
 
 

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from gleanwork.functions.requests import fetch_mode, finished_text, search_mode
 from gleanwork.functions.urls import archive_path, archive_url, extraction_folder
 from gleanwork.model import CODE_COMMAND
-from gleanwork.operators.catalog import numbered_list, request_status
+from gleanwork.operators.catalog import numbered_list, request_status, term_results
 from gleanwork.operators.files import attempt_count, first_branch, ingest_with_fallback, raw_urls
 from gleanwork.operators.settings import resolve_settings
-from gleanwork.operators.skew import heavy_keys, join_present, key_counts, split_join
+from gleanwork.operators.skew import join_present, key_load, split_join
 from gleanwork.session import stage
 from gleanwork.sinks.run_log import log_rows
 
@@ -24,8 +24,14 @@ class CodeRun:
 
     status: DataFrame
     files: DataFrame
-    lists: DataFrame
     log: DataFrame
+    asked: DataFrame
+    catalog: DataFrame
+    results: DataFrame
+
+    def lists(self) -> DataFrame:
+        """The lines of the lists that requests with several results get."""
+        return numbered_list(self.asked, self.catalog, self.results)
 
 
 def get_code(
@@ -45,13 +51,16 @@ def get_code(
     ``files(full_name, dir, file, supported)``. A repository is ingested once per
     branch, however many requests resolve to it.
     """
-    asked = requests.filter(F.col("cmd") == CODE_COMMAND).select("req_id", F.col("arg").alias("q"))
+    asked = stage(
+        requests.filter(F.col("cmd") == CODE_COMMAND).select("req_id", F.col("arg").alias("q")), "asked"
+    )
     chosen = resolve_settings(asked.select("req_id"), settings).select(
         "req_id",
         search_mode("github_api_key").alias("search_mode"),
         fetch_mode("github_api_key", "use_api").alias("fetch_mode"),
     )
-    outcome = request_status(asked, catalog).join(chosen, "req_id")
+    results = term_results(asked, catalog)
+    outcome = request_status(asked, catalog, results).join(chosen, "req_id")
     by_zip = first_branch(branches).withColumnRenamed("branch", "_zip_branch")
     by_api = default_branches.select("full_name", F.col("branch").alias("_api_branch"))
     # per repository and mode first, then back to the requests
@@ -71,7 +80,7 @@ def get_code(
         )
     )
     fetched = repos.filter("branch is not null").select("full_name", "branch").distinct()
-    big_repos = heavy_keys(key_counts(files, ["full_name"]), ["full_name"], "_n")
+    big_repos = key_load(files, ["full_name"])
     fetched_files = split_join(files, fetched, ["full_name"], ["dir", "file"], big_repos)
     found = raw_urls(
         fetched_files.withColumn("root", extraction_folder(F.lit(out), "full_name")), "full_name", "branch"
@@ -80,7 +89,7 @@ def get_code(
     counts = attempt_count(ingested, ["full_name", "branch"])
     per_repo = repos.join(counts, ["full_name", "branch"], "left")
     target = ["full_name", "fetch_mode"]
-    popular = heavy_keys(key_counts(downloads.filter("full_name is not null"), target), target, "_n")
+    popular = key_load(downloads.filter("full_name is not null"), target)
     status = stage(
         join_present(downloads, per_repo, target, ["req_id"], popular).select(
             "req_id",
@@ -118,4 +127,4 @@ def get_code(
             ("ingest_finished", fetched_ok, F.col("attempted")),
         ],
     )
-    return CodeRun(status=status, files=ingested, lists=numbered_list(asked, catalog), log=log)
+    return CodeRun(status, ingested, log, asked, catalog, results)

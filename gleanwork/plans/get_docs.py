@@ -13,7 +13,7 @@ from gleanwork.model import DOCS_COMMAND
 from gleanwork.operators.crawl import crawl
 from gleanwork.operators.links import link_edges
 from gleanwork.operators.settings import resolve_settings
-from gleanwork.operators.skew import ROWS_PER_TASK, heavy_keys, key_counts, split_join
+from gleanwork.operators.skew import ROWS_PER_TASK, key_load, split_join
 from gleanwork.session import stage
 from gleanwork.sinks.run_log import log_rows
 
@@ -32,8 +32,8 @@ def reachable_edges(pages: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> Dat
     """Links that lead to a page whose content is at hand: the others cannot be found."""
     edges = stage(link_edges(pages), "links")
     known = pages.select(strip_fragment("url").alias("dst")).distinct()
-    heavy = heavy_keys(key_counts(edges, ["dst"]), ["dst"], "_n", rows_per_task)
-    return split_join(edges, known, ["dst"], ["src"], heavy, "left_semi")
+    load = key_load(edges, ["dst"], rows_per_task)
+    return split_join(edges, known, ["dst"], ["src"], load, "left_semi")
 
 
 def get_docs(requests: DataFrame, settings: DataFrame, pages: DataFrame, include_seed: bool = True) -> DocsRun:
@@ -74,8 +74,8 @@ def get_docs(requests: DataFrame, settings: DataFrame, pages: DataFrame, include
         F.count("page_id").alias("n_saved"),
     )
     per_limits = crawls.select("seed", "node", *limits).join(per_crawl, "seed", "left")
-    heavy = heavy_keys(key_counts(runs, ["node", *limits]), ["node", *limits], "_n")
-    status = split_join(runs, per_limits, ["node", *limits], ["req_id"], heavy, "left").select(
+    load = key_load(runs, ["node", *limits])
+    status = split_join(runs, per_limits, ["node", *limits], ["req_id"], load, "left").select(
         "req_id",
         "url",
         url_netloc("url").alias("domain"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.operators.skew import ROWS_PER_TASK, heavy_keys, key_counts, split_join
+from gleanwork.operators.skew import ROWS_PER_TASK, key_load, split_join
 from gleanwork.session import stage
 from gleanwork.sources.archives import read_archives
 
@@ -42,7 +42,7 @@ def list_tree(entries: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFra
     entries = entries.filter(handled_entry("type"))
     keys = ["full_name", "parent"]
     below = entries.filter(F.col("parent").isNotNull())
-    heavy = stage(heavy_keys(key_counts(below, keys), keys, "_n", rows_per_task), "heavy")
+    load = key_load(below, keys, rows_per_task)
     level = stage(
         entries.filter(F.col("parent").isNull()).select(
             "full_name", "id", "type", F.col("name").alias("path")
@@ -54,7 +54,7 @@ def list_tree(entries: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFra
     while not folders.isEmpty():
         parents = folders.select("full_name", F.col("id").alias("parent"), F.col("path").alias("_above"))
         level = stage(
-            split_join(below, parents, keys, ["id"], heavy).select(
+            split_join(below, parents, keys, ["id"], load).select(
                 "full_name", "id", "type", F.concat_ws("/", "_above", "name").alias("path")
             ),
             "tree",
