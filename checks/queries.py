@@ -20,7 +20,7 @@ from gleanwork.plans.get_code import get_code
 from gleanwork.plans.get_docs import get_docs
 from gleanwork.session import fresh_path
 from gleanwork.sinks import manifest, run_log, tables
-from gleanwork.sources import archives, search, trees
+from gleanwork.sources import archives, search, storage, trees
 from gleanwork.sources.requests import read_requests
 from gleanwork.streaming import requests as streams
 
@@ -90,12 +90,9 @@ def read_repositories_zip(spark, sf):
     packed = _document_archives(spark, sf)
 
     def save(batches):
-        from pyarrow.fs import FileSystem
-
-        store, base = FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"]):
-                owner = f"{base}/own{doc_id % 10}"
+                store, owner = storage.open_store(f"{folder}/own{doc_id % 10}")
                 store.create_dir(owner, recursive=True)
                 with store.open_output_stream(f"{owner}/rep{doc_id}.zip") as out:
                     out.write(content)
@@ -121,7 +118,7 @@ def list_files(spark, sf):
     folder = fresh_path(spark, "walk")
     docs = fixture(spark, sf, "documents").select("source", "lang", F.regexp_replace("text", "\\s+", " ").alias("value"))
     docs.hint("rebalance", "source", "lang").write.partitionBy("source", "lang").text(folder)
-    walked = trees.list_files(spark, folder).filter(F.col("file").endswith(".txt"))
+    walked = storage.list_files(spark, folder).filter(F.col("file").endswith(".txt"))
     below = F.regexp_extract("dir", "([^/]+/[^/]+)$", 1)
     return walked.groupBy(below.alias("dir")).agg(F.sum("length").alias("n_bytes"))
 

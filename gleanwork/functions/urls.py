@@ -108,14 +108,16 @@ def raw_file_url(
     )
 
 
-def _join_segments(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` and drop empty middle segments of a rooted path."""
+def _join_segments(path: Column, rooted: bool) -> Column:
+    """Resolve ``.`` and ``..``; a path joined to a folder also loses empty segments."""
     parts = F.split(path, "/")
     last = F.element_at(parts, -1)
-    inner = F.filter(F.slice(parts, F.lit(2), F.size(parts) - 2), lambda s: s != "")
-    segments = F.when(
-        F.size(parts) > 2, F.concat(F.array(F.lit("")), inner, F.array(last))
-    ).otherwise(parts)
+    segments = parts
+    if not rooted:
+        inner = F.filter(F.slice(parts, F.lit(2), F.size(parts) - 2), lambda s: s != "")
+        segments = F.when(
+            F.size(parts) > 2, F.concat(F.array(F.lit("")), inner, F.array(last))
+        ).otherwise(parts)
     folded = F.aggregate(
         segments,
         F.array().cast("array<string>"),
@@ -131,9 +133,9 @@ def _join_segments(path: Column) -> Column:
     ).otherwise(F.concat(F.lit("/"), joined))
 
 
-def _clean_path(path: Column) -> Column:
+def _clean_path(path: Column, rooted: bool) -> Column:
     # most links need no folding, so test with a pattern before the array work
-    return F.when(path.rlike(r"(^|/)[.]{1,2}(/|$)|//"), _join_segments(path)).otherwise(path)
+    return F.when(path.rlike(r"(^|/)[.]{1,2}(/|$)|//"), _join_segments(path, rooted)).otherwise(path)
 
 
 def resolve_href(href: Column | str, base: Column | str) -> Column:
@@ -150,8 +152,8 @@ def resolve_href(href: Column | str, base: Column | str) -> Column:
         F.when(href == "", strip_fragment(base))
         .when(href.rlike(_SCHEME), href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(site, _clean_path(path), tail))
+        .when(F.startswith(href, F.lit("/")), F.concat(site, _clean_path(path, True), tail))
         .when(F.startswith(href, F.lit("#")), F.concat(strip_fragment(base), href))
         .when(F.startswith(href, F.lit("?")), F.concat(site, base_path, href))
-        .otherwise(F.concat(site, _clean_path(F.concat(folder, path)), tail))
+        .otherwise(F.concat(site, _clean_path(F.concat(folder, path), False), tail))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanwork.functions.urls import host_domains
-from gleanwork.operators.skew import ROWS_PER_TASK, key_load, split_join
+from gleanwork.operators.skew import ROWS_PER_TASK, key_counts, key_load, load_of, split_join
 from gleanwork.session import stage
 
 
@@ -26,7 +26,9 @@ def page_cap(
     )
 
 
-def allowed_edges(links: DataFrame, seeds: DataFrame, max_pages: int | None) -> DataFrame:
+def allowed_edges(
+    links: DataFrame, seeds: DataFrame, max_pages: int | None, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Edges ``node, domain, dst`` for the domains that some seed may visit.
 
     Each edge is listed under its host and the parent domains of it, which turns
@@ -35,9 +37,22 @@ def allowed_edges(links: DataFrame, seeds: DataFrame, max_pages: int | None) ->
     of a page, so hub pages are cut to that before they are joined.
     """
     wanted = seeds.select("domain").distinct()
+    # counted per host and then per parent domain: the list of hosts is short
+    per_domain = (
+        key_counts(links, ["host"])
+        .withColumn("domain", F.explode(host_domains("host")))
+        .groupBy("domain")
+        .agg(F.sum("_n").alias("_n"))
+    )
     by_domain = (
-        links.withColumn("domain", F.explode(host_domains("host")))
-        .join(wanted, "domain", "left_semi")
+        split_join(
+            links.withColumn("domain", F.explode(host_domains("host"))),
+            wanted,
+            ["domain"],
+            ["src", "dst"],
+            load_of(per_domain, ["domain"], rows_per_task),
+            "left_semi",
+        )
         .select(F.col("src").alias("node"), "domain", "dst")
         .distinct()
     )
@@ -75,7 +90,7 @@ def crawl(
         ),
         "seeds",
     )
-    edges = stage(allowed_edges(links, start, max_pages), "edges")
+    edges = stage(allowed_edges(links, start, max_pages, rows_per_task), "edges")
     keys = ["node", "domain"]
     # with a limit no page keeps more than 2 * max_pages edges; without one hubs are hot as well
     hubs = None if max_pages is not None else key_load(edges, keys, rows_per_task)
@@ -91,8 +106,8 @@ def crawl(
             .select("seed", "domain", "_deep", "_most", F.col("dst").alias("node"), F.lit(level).alias("depth"))
         )
         merged = seen.unionByName(found)
-        if max_pages is not None:
-            # a limited crawl is small, so one shuffle by seed serves both steps below
+        if max_pages is not None and 2 * max_pages * max_pages <= rows_per_task:
+            # a round of a limited crawl is small, so one shuffle by seed serves both steps below
             merged = merged.repartition("seed")
         merged = merged.groupBy("seed", "domain", "node", "_deep", "_most").agg(F.min("depth").alias("depth"))
         if max_pages is not None:

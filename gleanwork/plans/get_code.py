@@ -87,7 +87,7 @@ def get_code(
     )
     ingested = stage(ingest_with_fallback(found, raw_available), "ingested")
     counts = attempt_count(ingested, ["full_name", "branch"])
-    per_repo = repos.join(counts, ["full_name", "branch"], "left")
+    per_repo = join_present(repos, counts, ["full_name", "branch"], ["fetch_mode"])
     target = ["full_name", "fetch_mode"]
     popular = key_load(downloads.filter("full_name is not null"), target)
     status = stage(

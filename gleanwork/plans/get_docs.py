@@ -67,7 +67,10 @@ def get_docs(requests: DataFrame, settings: DataFrame, pages: DataFrame, include
     # one copy of each page, in order of first appearance under its address
     kept = pages.groupBy(strip_fragment("url").alias("node")).agg(F.min("page_id").alias("page_id"))
     fetched = stage(
-        found.join(kept, "node", "left").select("seed", "node", "depth", "page_id"), "fetched"
+        split_join(found, kept, ["node"], ["seed"], key_load(found, ["node"]), "left").select(
+            "seed", "node", "depth", "page_id"
+        ),
+        "fetched",
     )
     per_crawl = fetched.groupBy("seed").agg(
         F.count(F.lit(1)).alias("n_found"),

@@ -56,3 +56,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def task_count(spark: SparkSession) -> int:
+    """Number of tasks for work whose cost does not show in the size of its rows.
+
+    Adaptive execution would pack a few thousand paths into one task, although each
+    of them stands for a file to open.
+    """
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

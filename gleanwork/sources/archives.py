@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanwork.functions.urls import extraction_folder
+from gleanwork.session import task_count
+from gleanwork.sources.storage import list_files, open_store
 
 ENTRY_SCHEMA = "entry string, n bigint, data binary, problem string"
 
@@ -39,7 +43,7 @@ class UnzipEntries:
         for name, info in last.items():
             try:
                 yield name, info.file_size, archive.read(info), None
-            except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError):
+            except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError):
                 yield name, info.file_size, None, "bad_entry"
 
 
@@ -51,7 +55,6 @@ def unzip(archives: DataFrame, keys: list[str], content: str = "content") -> Dat
     """``keys`` plus one row per unpacked file of the ``content`` column."""
     spark = archives.sparkSession
     register_unzip(spark)
-    # the adaptive scan packs many small archives into a task; unpacking is the costly part
     return spark.sql(
         f"select {', '.join(keys)}, entry, n, data, problem "
         f"from {{archives}}, lateral unzip_entries({content})",
@@ -59,22 +62,84 @@ def unzip(archives: DataFrame, keys: list[str], content: str = "content") -> Dat
     )
 
 
+MEMBER_SCHEMA = "path string, chunk int, member int, entry string, problem string"
+FILE_SCHEMA = "path string, entry string, n bigint, content binary, problem string"
+
+# Unpacked bytes that one task reads from an archive, and that one Arrow batch holds.
+CHUNK_BYTES = 256 << 20
+BATCH_BYTES = 32 << 20
+
+
+def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files of each archive from its directory, in chunks of about equal size."""
+    for batch in batches:
+        for path in batch["path"]:
+            rows = []
+            try:
+                store, inner = open_store(path)
+                with store.open_input_file(inner) as source, zipfile.ZipFile(source) as archive:
+                    infos = archive.infolist()
+            # a file too short to be an archive makes the store refuse the seek
+            except (zipfile.BadZipFile, ValueError):
+                rows.append((path, 0, None, None, "bad_archive"))
+                infos = []
+            last = {_safe_name(info.filename): i for i, info in enumerate(infos) if not info.is_dir()}
+            size = 0
+            for entry, i in last.items():
+                rows.append((path, size // CHUNK_BYTES, i, entry, None))
+                size += infos[i].file_size
+            yield pd.DataFrame(rows, columns=["path", "chunk", "member", "entry", "problem"]).astype(
+                {"chunk": "Int32", "member": "Int32"}
+            )
+
+
+def _read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Content of the listed files; an archive is opened once per run of its rows."""
+    columns = ["path", "entry", "n", "content", "problem"]
+    for batch in batches:
+        rows, held = [], 0
+        for path, members in batch.groupby("path", sort=False):
+            bad = members[members["problem"].notna()]
+            rows += [(path, None, None, None, problem) for problem in bad["problem"]]
+            members = members[members["problem"].isna()]
+            if members.empty:
+                continue
+            store, inner = open_store(path)
+            with store.open_input_file(inner) as source, zipfile.ZipFile(source) as archive:
+                infos = archive.infolist()
+                for i, entry in zip(members["member"], members["entry"]):
+                    info = infos[i]
+                    try:
+                        rows.append((path, entry, info.file_size, archive.read(info), None))
+                    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError):
+                        rows.append((path, entry, info.file_size, None, "bad_entry"))
+                    held += info.file_size
+                    if held > BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=columns).astype({"n": "Int64"})
+                        rows, held = [], 0
+        yield pd.DataFrame(rows, columns=columns).astype({"n": "Int64"})
+
+
 def read_archives(spark: SparkSession, folder: str, out: str) -> DataFrame:
-    """Every zip below ``folder/owner/`` as ``full_name, path, content`` file rows."""
+    """Every zip below ``folder/owner/`` as file rows ``full_name, path, n, content, problem``.
+
+    First the archives' directories are read, then their files in chunks, so that
+    one big archive is unpacked by many tasks. Archives are opened in place and
+    never held as a whole.
+    """
     archives = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.zip")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select(
-            F.regexp_extract("path", "([^/]+/[^/]+)[.]zip$", 1).alias("full_name"),
-            "content",
-        )
+        list_files(spark, folder)
+        .filter(F.col("file").endswith(".zip"))
+        .select(F.concat_ws("/", "dir", "file").alias("path"))
     )
-    return unzip(archives, ["full_name"]).select(
+    tasks = task_count(spark)
+    members = archives.repartition(tasks, "path").mapInPandas(_list_members, MEMBER_SCHEMA)
+    files = members.repartition(tasks, "path", "chunk").mapInPandas(_read_members, FILE_SCHEMA)
+    named = files.withColumn("full_name", F.regexp_extract("path", "([^/]+/[^/]+)[.]zip$", 1))
+    return named.select(
         "full_name",
         F.concat_ws("/", extraction_folder(F.lit(out), "full_name"), "entry").alias("path"),
         "n",
-        F.col("data").alias("content"),
+        "content",
         "problem",
     )

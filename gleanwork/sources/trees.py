@@ -17,51 +17,39 @@ def handled_entry(entry_type: str) -> Column:
     return F.col(entry_type).isin(*ENTRY_TYPES)
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Every file below ``folder`` as ``dir, file, length``; no content is read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length")
-    )
-    return files.select(
-        F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"),
-        F.regexp_extract("path", "([^/]*)$", 1).alias("file"),
-        "length",
-    )
-
-
 def list_tree(entries: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Files of a remote tree with their full path.
 
     ``entries(full_name, id, parent, name, type)``; top entries have no parent.
-    One join per level, until no folder is left. Other entry types are passed over,
-    and a folder without listed children just ends there.
+    Folder paths are built level by level, one join each over the folders alone;
+    then the files, the bulk of a tree, join once. Other entry types are passed
+    over, and a folder without listed children just ends there.
     """
-    entries = entries.filter(handled_entry("type"))
     keys = ["full_name", "parent"]
-    below = entries.filter(F.col("parent").isNotNull())
+    entries = entries.filter(handled_entry("type"))
+    folders = entries.filter("type = 'dir'")
+    files = entries.filter("type = 'file'")
+    below = folders.filter(F.col("parent").isNotNull())
     load = key_load(below, keys, rows_per_task)
     level = stage(
-        entries.filter(F.col("parent").isNull()).select(
-            "full_name", "id", "type", F.col("name").alias("path")
-        ),
-        "tree",
+        folders.filter(F.col("parent").isNull()).select("full_name", F.col("id").alias("parent"), F.col("name").alias("_above")),
+        "folders",
     )
-    files = level.filter("type = 'file'")
-    folders = level.filter("type = 'dir'")
-    while not folders.isEmpty():
-        parents = folders.select("full_name", F.col("id").alias("parent"), F.col("path").alias("_above"))
+    paths = level
+    while not level.isEmpty():
         level = stage(
-            split_join(below, parents, keys, ["id"], load).select(
-                "full_name", "id", "type", F.concat_ws("/", "_above", "name").alias("path")
+            split_join(below, level, keys, ["id"], load).select(
+                "full_name", F.col("id").alias("parent"), F.concat_ws("/", "_above", "name").alias("_above")
             ),
-            "tree",
+            "folders",
         )
-        files = files.unionByName(level.filter("type = 'file'"))
-        folders = level.filter("type = 'dir'")
-    return files.select("full_name", "id", "path")
+        paths = paths.unionByName(level)
+    inside = files.filter(F.col("parent").isNotNull())
+    listed = split_join(inside, paths, keys, ["id"], key_load(inside, keys, rows_per_task)).select(
+        "full_name", "id", F.concat_ws("/", "_above", "name").alias("path")
+    )
+    top = files.filter(F.col("parent").isNull()).select("full_name", "id", F.col("name").alias("path"))
+    return listed.unionByName(top)
 
 
 def read_repositories(
