@@ -138,22 +138,36 @@ def _clean_path(path: Column, rooted: bool) -> Column:
     return F.when(path.rlike(r"(^|/)[.]{1,2}(/|$)|//"), _join_segments(path, rooted)).otherwise(path)
 
 
-def resolve_href(href: Column | str, base: Column | str) -> Column:
-    """Absolute form of a link found on the page ``base``."""
-    href, base = F.trim(as_column(href)), as_column(base)
+def base_parts(base: Column | str) -> Column:
+    """The pieces of a page address that its links are completed with, as a struct."""
+    base = as_column(base)
     scheme = F.regexp_extract(base, _SCHEME, 1)
-    site = F.concat(scheme, F.lit("://"), url_netloc(base))
-    base_path = F.regexp_extract(base, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//[^/?#]*([^?#]*)", 1)
-    folder = F.regexp_replace(base_path, "[^/]*$", "")
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    path = F.regexp_extract(base, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    return F.struct(
+        scheme.alias("scheme"),
+        F.concat(scheme, F.lit("://"), url_netloc(base)).alias("site"),
+        path.alias("path"),
+        F.when(folder == "", F.lit("/")).otherwise(folder).alias("folder"),
+        strip_fragment(base).alias("bare"),
+    )
+
+
+def resolve_with(href: Column, base: Column) -> Column:
+    """Absolute form of a link, given the ``base_parts`` of its page."""
     path = F.regexp_extract(href, "^([^?#]*)", 1)
     tail = F.regexp_extract(href, "^[^?#]*(.*)$", 1)
     return (
-        F.when(href == "", strip_fragment(base))
+        F.when(href == "", base["bare"])
+        .when(F.startswith(href, F.lit("//")), F.concat(base["scheme"], F.lit(":"), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(base["site"], _clean_path(path, True), tail))
+        .when(F.startswith(href, F.lit("#")), F.concat(base["bare"], href))
+        .when(F.startswith(href, F.lit("?")), F.concat(base["site"], base["path"], href))
         .when(href.rlike(_SCHEME), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(site, _clean_path(path, True), tail))
-        .when(F.startswith(href, F.lit("#")), F.concat(strip_fragment(base), href))
-        .when(F.startswith(href, F.lit("?")), F.concat(site, base_path, href))
-        .otherwise(F.concat(site, _clean_path(F.concat(folder, path), False), tail))
+        .otherwise(F.concat(base["site"], _clean_path(F.concat(base["folder"], path), False), tail))
     )
+
+
+def resolve_href(href: Column | str, base: Column | str) -> Column:
+    """Absolute form of a link found on the page ``base``."""
+    return resolve_with(F.trim(as_column(href)), base_parts(base))

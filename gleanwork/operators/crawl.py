@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanwork.functions.urls import host_domains
-from gleanwork.operators.skew import ROWS_PER_TASK, key_counts, key_load, load_of, split_join
-from gleanwork.session import stage
+from gleanwork.operators.skew import ROWS_PER_TASK, join_counted, key_load, split_join
+from gleanwork.session import stage, staged_metrics
 
 
 def page_cap(
@@ -29,29 +29,22 @@ def page_cap(
 def allowed_edges(
     links: DataFrame, seeds: DataFrame, max_pages: int | None, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Edges ``node, domain, dst`` for the domains that some seed may visit.
+    """Edges ``node, domain, dst`` for the domains that some of the staged seeds may visit.
 
     Each edge is listed under its host and the parent domains of it, which turns
     the domain rule into a join key. With a page limit a crawl that has seen fewer
     than ``max_pages`` nodes can use no more than the first ``2 * max_pages`` edges
     of a page, so hub pages are cut to that before they are joined.
     """
-    wanted = seeds.select("domain").distinct()
-    # counted per host and then per parent domain: the list of hosts is short
-    per_domain = (
-        key_counts(links, ["host"])
-        .withColumn("domain", F.explode(host_domains("host")))
-        .groupBy("domain")
-        .agg(F.sum("_n").alias("_n"))
-    )
     by_domain = (
-        split_join(
+        join_counted(
             links.withColumn("domain", F.explode(host_domains("host"))),
-            wanted,
+            seeds.select("domain").distinct(),
+            staged_metrics(seeds)["rows"],
             ["domain"],
             ["src", "dst"],
-            load_of(per_domain, ["domain"], rows_per_task),
             "left_semi",
+            rows_per_task,
         )
         .select(F.col("src").alias("node"), "domain", "dst")
         .distinct()
@@ -95,12 +88,12 @@ def crawl(
     # with a limit no page keeps more than 2 * max_pages edges; without one hubs are hot as well
     hubs = None if max_pages is not None else key_load(edges, keys, rows_per_task)
     seen = start if include_seed else start.filter(F.lit(False))
-    frontier = start
+    frontier, newest = start, staged_metrics(start)["rows"]
     for level in range(1, depth + 1):
-        frontier = frontier.filter(F.col("_deep") >= level)
-        load = key_load(frontier, keys, rows_per_task)
-        if load.empty:
+        if newest == 0:
             break
+        frontier = frontier.filter(F.col("_deep") >= level)
+        load = key_load(frontier, keys, rows_per_task, at_most=newest)
         found = (
             split_join(frontier, edges, keys, ["seed"], load, right_spread=["dst"], right_load=hubs)
             .select("seed", "domain", "_deep", "_most", F.col("dst").alias("node"), F.lit(level).alias("depth"))
@@ -112,7 +105,10 @@ def crawl(
         merged = merged.groupBy("seed", "domain", "node", "_deep", "_most").agg(F.min("depth").alias("depth"))
         if max_pages is not None:
             merged = _own_cap(merged, max_pages)
-        seen = stage(merged.select(start.columns), "seen")
+        # the newest nodes whose crawl may go a level deeper
+        open_nodes = F.count_if((F.col("depth") == level) & (F.col("_deep") > level))
+        seen = stage(merged.select(start.columns), "seen", newest=open_nodes)
+        newest = staged_metrics(seen)["newest"]
         frontier = seen.filter(F.col("depth") == level)
     return seen.select("seed", "node", "depth")
 

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanwork.functions.urls import resolve_href, strip_fragment, url_host
+from gleanwork.functions.urls import base_parts, resolve_href, resolve_with, strip_fragment, url_host
 
 # Comments, scripts and styles are matched first and so swallowed; only the last
-# form, an anchor or area tag, fills the group.
+# form, an anchor or area tag, fills the group. All forms share their first
+# character, which lets the matcher run past plain text.
 _ANCHORS = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-    r"""|<(?:a|area)\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    r"<(?:!--(?s:.*?)-->|(?i:script)\b(?s:.*?)</(?i:script)\s*>|(?i:style)\b(?s:.*?)</(?i:style)\s*>"
+    r"""|[aA](?:[rR][eE][aA])?\s(?:[^>]*?\s)?(?i:href)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))"""
 )
-_BASE = r"""(?is)<base\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_BASE = r"""<(?i:base)\s(?:[^>]*?\s)?(?i:href)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def _attribute_value(raw: Column) -> Column:
-    """Attribute text without quotes; ``&amp;`` is the entity that addresses need."""
-    return F.replace(F.regexp_replace(raw, "^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&"))
+    """Attribute text without quotes and blanks; ``&amp;`` is the entity that addresses need."""
+    bare = F.regexp_replace(raw, r"^[\"']?\s*|\s*[\"']?$", "")
+    return F.replace(bare, F.lit("&amp;"), F.lit("&"))
 
 
 def hrefs(html: str) -> Column:
@@ -27,25 +31,37 @@ def hrefs(html: str) -> Column:
     return F.transform(F.array_distinct(F.filter(found, lambda raw: raw != "")), _attribute_value)
 
 
-def base_url(html: str, url: str) -> Column:
-    """Address that relative links start from: the page's own or its base element's."""
-    raw = F.regexp_extract(html, _BASE, 1)
-    return F.when(raw == "", F.col(url)).otherwise(resolve_href(_attribute_value(raw), url))
+def _once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(value)`` with ``value`` computed once, however often it is used.
+
+    The optimizer merges projections, so a pattern over a whole page that is named
+    in several places would otherwise run in each of them.
+    """
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
+def link_base(html: str, url: str) -> Column:
+    """Parts of the address that links start from: the page's own or its base element's."""
+
+    def address(raw: Column) -> Column:
+        return F.when(raw == "", F.col(url)).otherwise(resolve_href(_attribute_value(raw), url))
+
+    found = F.coalesce(F.regexp_extract(html, _BASE, 1), F.lit(""))
+    return _once(found, lambda raw: _once(address(raw), base_parts))
 
 
 def extract_links(pages: DataFrame, keep_fragment: bool = True) -> DataFrame:
     """Web links of ``pages(page_id, url, html)``, each address once per page.
 
     A page is one row, so links are made unique inside the row, without a shuffle.
+    The page address is taken apart once per page, not once per link.
     """
-    bases = pages.select(
-        "page_id", "url", base_url("html", "url").alias("_base"), hrefs("html").alias("_hrefs")
-    )
-    resolved = F.transform("_hrefs", lambda h: resolve_href(h, "_base"))
+    found = pages.select("page_id", "url", link_base("html", "url").alias("_base"), hrefs("html").alias("_hrefs"))
+    resolved = F.transform("_hrefs", lambda h: resolve_with(h, F.col("_base")))
     if not keep_fragment:
         resolved = F.transform(resolved, strip_fragment)
     web = F.filter(F.array_distinct(resolved), lambda u: u.rlike("^(?i)https?://[^/?#]"))
-    return bases.select("page_id", "url", F.explode(web).alias("abs_url"))
+    return found.select("page_id", "url", F.explode(web).alias("abs_url"))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:

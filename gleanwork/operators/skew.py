@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gleanwork.session import stage
+from gleanwork.session import stage, staged_metrics
 
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_TASK = 1_000_000
+# A table of narrow rows is broadcast up to this many of them.
+BROADCAST_ROWS = 100_000
 # No more keys than this can each hold over a thousandth of the rows.
 MAX_HEAVY_KEYS = 1_000
 
@@ -22,13 +24,9 @@ class KeyLoad:
 
     on: list[str]
     top: list[Row]
-    schema: StructType
+    schema: StructType | None
     rows_per_task: int
 
-    @property
-    def empty(self) -> bool:
-        return not self.top
-
     def splits(self, spark: SparkSession) -> DataFrame | None:
         """Number of splits per key to spread, None when no key is that heavy."""
         heavy = [row for row in self.top if row["_n"] > self.rows_per_task]
@@ -52,7 +50,18 @@ def load_of(counts: DataFrame, on: list[str], rows_per_task: int = ROWS_PER_TASK
     return KeyLoad(on, ordered.take(MAX_HEAVY_KEYS), ordered.schema, rows_per_task)
 
 
-def key_load(df: DataFrame, on: list[str], rows_per_task: int = ROWS_PER_TASK) -> KeyLoad:
+def key_load(
+    df: DataFrame, on: list[str], rows_per_task: int = ROWS_PER_TASK, at_most: int | None = None
+) -> KeyLoad:
+    """Most frequent keys of ``df``.
+
+    No job is needed when the whole table, by ``at_most`` or as staged, has no more
+    rows than one task takes.
+    """
+    if at_most is None and staged_metrics(df) is not None:
+        at_most = staged_metrics(df)["rows"]
+    if at_most is not None and at_most <= rows_per_task:
+        return KeyLoad(on, [], None, rows_per_task)
     return load_of(key_counts(df, on), on, rows_per_task)
 
 
@@ -105,6 +114,24 @@ def split_join(
     return left.join(right, keys, how).drop("_split", "_cut")
 
 
+def join_counted(
+    left: DataFrame,
+    right: DataFrame,
+    n_right: int,
+    on: list[str],
+    spread: list[str],
+    how: str = "inner",
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Join to a right side of known size: broadcast up to ``BROADCAST_ROWS``, else split.
+
+    The left side is looked through for heavy keys only in the second case.
+    """
+    if n_right <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    return split_join(left, right, on, spread, key_load(left, on, rows_per_task), how)
+
+
 def join_present(
     left: DataFrame, right: DataFrame, on: list[str], spread: list[str], load: KeyLoad | None = None
 ) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
+_metrics: weakref.WeakKeyDictionary[DataFrame, dict] = weakref.WeakKeyDictionary()
 
 
 def build_session(app: str = "gleanwork", **conf: str) -> SparkSession:
@@ -47,15 +50,28 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}/{label}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, **metrics: Column) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, survives executor loss.
 
     A written table also gives the optimizer true sizes, so later joins broadcast
-    it only when it really is small.
+    it only when it really is small. Its row count and the ``metrics`` are taken
+    while it is written; ``staged_metrics`` gives them.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(name) for name, m in metrics.items()])
+    counted.write.parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    _metrics[staged] = seen.get
+    return staged
+
+
+def staged_metrics(df: DataFrame) -> dict | None:
+    """Row count and metrics of a staged table, None for any other DataFrame.
+
+    A retried task may count twice, so take a number as an upper bound; zero is exact.
+    """
+    return _metrics.get(df)
 
 
 def task_count(spark: SparkSession) -> int:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.session import stage, task_count
+from gleanwork.session import stage, staged_metrics, task_count
 
 LISTING_SCHEMA = "dir string, file string, is_dir boolean, length bigint"
 
@@ -54,10 +54,10 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     files = None
     while True:
         entries = stage(
-            level.repartition(task_count(spark), "dir").mapInPandas(_list_folders, LISTING_SCHEMA), "listing"
+            level.repartition(task_count(spark), "dir").mapInPandas(_list_folders, LISTING_SCHEMA), "listing", folders=F.count_if("is_dir")
         )
         found = entries.filter(~F.col("is_dir")).drop("is_dir")
         files = found if files is None else files.unionByName(found)
         level = entries.filter("is_dir").select(F.concat_ws("/", "dir", "file").alias("dir"))
-        if level.isEmpty():
+        if staged_metrics(entries)["folders"] == 0:
             return files

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.operators.skew import ROWS_PER_TASK, key_load, split_join
-from gleanwork.session import stage
+from gleanwork.operators.skew import ROWS_PER_TASK, join_counted
+from gleanwork.session import stage, staged_metrics
 from gleanwork.sources.archives import read_archives
 
 # The entry types that are handled.
@@ -30,22 +30,22 @@ def list_tree(entries: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFra
     folders = entries.filter("type = 'dir'")
     files = entries.filter("type = 'file'")
     below = folders.filter(F.col("parent").isNotNull())
-    load = key_load(below, keys, rows_per_task)
     level = stage(
         folders.filter(F.col("parent").isNull()).select("full_name", F.col("id").alias("parent"), F.col("name").alias("_above")),
         "folders",
     )
-    paths = level
-    while not level.isEmpty():
+    paths, n_paths = level, 0
+    while n_level := staged_metrics(level)["rows"]:
+        n_paths += n_level
         level = stage(
-            split_join(below, level, keys, ["id"], load).select(
+            join_counted(below, level, n_level, keys, ["id"], rows_per_task=rows_per_task).select(
                 "full_name", F.col("id").alias("parent"), F.concat_ws("/", "_above", "name").alias("_above")
             ),
             "folders",
         )
         paths = paths.unionByName(level)
     inside = files.filter(F.col("parent").isNotNull())
-    listed = split_join(inside, paths, keys, ["id"], key_load(inside, keys, rows_per_task)).select(
+    listed = join_counted(inside, paths, n_paths, keys, ["id"], rows_per_task=rows_per_task).select(
         "full_name", "id", F.concat_ws("/", "_above", "name").alias("path")
     )
     top = files.filter(F.col("parent").isNull()).select("full_name", "id", F.col("name").alias("path"))
