@@ -34,10 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may go without it; there a temporary folder is made.
     """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if sc.applicationId not in _local_dirs:

@@ -108,7 +108,8 @@ def _read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with store.open_input_file(inner) as source, zipfile.ZipFile(source) as archive:
                 infos = archive.infolist()
                 for i, entry in zip(members["member"], members["entry"]):
-                    info = infos[i]
+                    # a batch that also holds rows without a member carries floats
+                    info = infos[int(i)]
                     try:
                         rows.append((path, entry, info.file_size, archive.read(info), None))
                     except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError):

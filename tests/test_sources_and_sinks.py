@@ -82,6 +82,15 @@ def test_big_archive_is_cut_into_chunks(spark, tmp_path, monkeypatch):
     assert got.filter("n = 1000 and full_name = 'own/.github'").count() == 50
 
 
+def test_bad_and_good_archives_in_one_batch(tmp_path):
+    (tmp_path / "a.zip").write_bytes(b"no")
+    (tmp_path / "b.zip").write_bytes(zip_bytes(("x.txt", "x")))
+    listed = archives._list_members([pd.DataFrame({"path": [str(tmp_path / n) for n in ("a.zip", "b.zip")]})])
+    together = pd.concat([m.astype({"member": "float64"}) for m in listed])
+    (got,) = archives._read_members([together])
+    assert list(got["problem"]) == ["bad_archive", None] and list(got["content"]) == [None, b"x"]
+
+
 def test_missing_archive(spark):
     table = spark.createDataFrame([(1, None)], "i int, content binary")
     assert [(r["i"], r["problem"]) for r in archives.unzip(table, ["i"]).collect()] == [(1, "missing_archive")]
