@@ -21,12 +21,20 @@ def part_of(group: Column | str, parts: int = PARTS) -> Column:
     return F.pmod(F.xxhash64(group), F.lit(parts)).cast("int")
 
 
+def _path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path``, None before its first write."""
+    if not _path_exists(spark, path):
+        return None
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        # the folder is there, but no file yet
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return None
         raise
 
