@@ -22,6 +22,7 @@ from gleanwork.session import fresh_path
 from gleanwork.sinks import manifest, run_log, tables
 from gleanwork.sources import archives, search, storage, trees
 from gleanwork.sources.requests import read_requests
+from gleanwork.sources.storage import open_store
 from gleanwork.streaming import requests as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,7 +93,7 @@ def read_repositories_zip(spark, sf):
     def save(batches):
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"]):
-                store, owner = storage.open_store(f"{folder}/own{doc_id % 10}")
+                store, owner = open_store(f"{folder}/own{doc_id % 10}")
                 store.create_dir(owner, recursive=True)
                 with store.open_output_stream(f"{owner}/rep{doc_id}.zip") as out:
                     out.write(content)

@@ -46,3 +46,23 @@ def test_fixtures_reach_every_branch(larger):
 def test_cap_cuts_something(larger):
     n = {name: larger.execute(f"select count(*) from ({ORACLE[name]})").fetchone()[0] for name in ("crawl_sites", "page_cap")}
     assert n["page_cap"] < n["crawl_sites"]
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    """Python tasks run although their workers cannot import the package."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "from checks.queries import QUERIES\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "for name in ('unzip_entries', 'list_files', 'read_repositories_zip'):\n"
+        "    print(name, QUERIES[name](spark, '/root/testdata/sf0.001').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "read_repositories_zip 400" in done.stdout, done.stderr[-2000:]
