@@ -38,3 +38,54 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failed_rules & 3) <> 0 as base_failed, failed_rules = 0 as kept, failed_rules, n_lines, n_upper, n_stutter
 from f
 """
+
+ORACLE["op8_line_dedup"] = """
+with d as (
+  select row_number() over () as r, doc_id, text, string_split(coalesce(text, ''), chr(10)) as a from documents
+), l as (
+  select r, doc_id, a, list_filter(range(1, len(a) + 1), lambda i: regexp_matches(a[i], '[^\\x20\\x09-\\x0D]')) as idx from d
+), w as (
+  select r, doc_id, j, [a[idx[j]], a[idx[j + 1]], a[idx[j + 2]]] as g, [idx[j], idx[j + 1], idx[j + 2]] as p
+  from (select *, unnest(range(1, len(idx) - 1)) as j from l)
+), later as (
+  select r, p from (select *, row_number() over (partition by g order by doc_id, j) as k from w) where k > 1
+), gone as (
+  select r, list(distinct i) as gone from (select r, unnest(p) as i from later) group by r
+)
+select d.doc_id, cast(len(idx) as bigint) as n_lines, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+  case when gone is null then d.text else coalesce(array_to_string(
+    list_transform(list_filter(range(1, len(d.a) + 1), lambda i: not list_contains(gone, i)), lambda i: d.a[i]), chr(10)), '') end as text
+from d join l using (r) left join gone using (r)
+"""
+
+TARGETS = """
+sized as (select doc_id, source, cast(len({words}) as bigint) as size from {documents}),
+by_source as (
+  select *, (5 - 3 * (place % 3 = 1)::int - 4 * (place % 3 = 2)::int)::bigint as weight, 2 * source_size as lim
+  from (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place
+        from sized group by source)
+),
+levels as (
+  select *, (3 * sum(source_size) over () - 2 * coalesce(sum(lim) over (l rows between unbounded preceding and 1 preceding), 0))::double * weight
+      > lim::double * 2 * sum(weight) over (l rows between current row and unbounded following) as is_full
+  from by_source window l as (order by source_size / weight, source nulls last)
+),
+targets as (
+  select source, source_size, case when is_full then lim::double else
+    (weight * (3 * sum(source_size) over () - 2 * sum(case when is_full then lim else 0 end) over ()))::double
+    / (2 * sum(case when is_full then 0 else weight end) over ())::double end as target
+  from levels
+),
+rates as (
+  select s.doc_id, s.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate,
+    cast('0x' || substr(md5('mix-1:' || coalesce(cast(s.doc_id as varchar), '')), 1, 13) as bigint)::double / 4503599627370496.0 as u
+  from sized s join targets t on s.source is not distinct from t.source
+)
+"""
+
+ORACLE["op2_source_mixing"] = f"""
+with {TARGETS.format(words=_WORDS, documents="documents")}
+select doc_id, size, source_size, target,
+  cast(size * (floor(rate) + (u < rate - floor(rate))::int) as bigint) as taken
+from rates
+"""

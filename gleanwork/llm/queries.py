@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm import quality
+from gleanwork.llm import lines, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -38,3 +38,14 @@ def op6_quality_rules(spark, sf):
         "n_upper",
         "n_stutter",
     )
+
+
+@query
+def op8_line_dedup(spark, sf):
+    rows = lines.marked(table(spark, sf, "documents"))
+    return rows.select("doc.doc_id", "n_lines", "n_removed", F.col("kept").alias("text"))
+
+
+@query
+def op2_source_mixing(spark, sf):
+    return mixing.shares(table(spark, sf, "documents"))
