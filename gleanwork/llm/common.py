@@ -22,7 +22,7 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, **metrics: Column) -> DataFrame:
     """``stage`` that also drops the shuffle files of the write once it is done.
 
     What follows reads the written table, so those files have no use any more.
@@ -31,7 +31,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        return stage(df, label)
+        return stage(df, label, **metrics)
     finally:
         spark.conf.set(_CLEANUP, before)
 

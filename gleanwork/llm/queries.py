@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm import lines, mixing, quality
+from gleanwork.llm import lines, mixing, near, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -49,3 +49,8 @@ def op8_line_dedup(spark, sf):
 @query
 def op2_source_mixing(spark, sf):
     return mixing.shares(table(spark, sf, "documents"))
+
+
+@query
+def op4_minhash_dedup(spark, sf):
+    return near.near_duplicates(table(spark, sf, "documents"))
