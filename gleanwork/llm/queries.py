@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm import lines, mixing, near, quality
+import corpus_pipeline
+from gleanwork.llm import lines, mixing, near, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -54,3 +55,13 @@ def op2_source_mixing(spark, sf):
 @query
 def op4_minhash_dedup(spark, sf):
     return near.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op7_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
+
+
+@query
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)
