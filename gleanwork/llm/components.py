@@ -16,20 +16,19 @@ def _label(df: DataFrame, name: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``v, c`` for every vertex in ``edges(a, b)``: c is the smallest vertex it can reach.
 
-    A round gives each vertex the smallest label among its neighbours, then the label of
-    that label. Minima are combined before the shuffle; both sides of each join are written
-    tables, so adaptive execution can split a vertex with very many links. Ends when a
-    round changes nothing. No links give no rows.
+    ``edges`` should be a written table. A round gives each vertex the smallest label among
+    its neighbours, then the label of that label, and writes the labels. Minima are combined
+    before the shuffle; links are joined to a written table, so adaptive execution can split
+    a vertex with very many links. Ends when a round changes nothing. No links give no rows.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
-    both = staged(both.distinct(), "links")
     labels = _label(both.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("c")), "labels")
     while staged_metrics(labels)["rows"]:
         before = staged_metrics(labels)["digest"]
         heard = both.join(labels.withColumnRenamed("v", "a"), "a").select(F.col("b").alias("v"), "c")
-        labels = _label(heard.union(labels).groupBy("v").agg(F.min("c").alias("c")), "labels")
+        told = heard.union(labels).groupBy("v").agg(F.min("c").alias("c"))
         theirs = labels.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-        labels = _label(labels.join(theirs, "c").select("v", F.col("cc").alias("c")), "labels")
+        labels = _label(told.join(theirs, "c").select("v", F.col("cc").alias("c")), "labels")
         if staged_metrics(labels)["digest"] == before:
             break
     return labels

@@ -34,9 +34,10 @@ FUNCTIONS = 64
 TREES = 4
 ROOT_BRANCHES = 3
 BRANCHES = 2
-ROUNDS = 10
-# Sets outside a node's largest group up to which all its pairs are compared.
-FEW = 8
+ROUNDS = 8
+# Sets outside a node's largest group up to which all its pairs are compared, in the first
+# round, where every set is a group of its own, and later.
+FEW_FIRST, FEW = 8, 64
 # Of 64 functions, similar sets agree on 48 on average; 26 lies over six deviations below.
 AGREE = 26
 
@@ -99,17 +100,23 @@ def _children(rows: DataFrame, ways: list[Column]) -> DataFrame:
     return rows.select(F.explode(F.array(*ways)).alias("node"), "v")
 
 
-def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links ``a, b`` among candidate pairs: first by size and agreement, then on full sets."""
+def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, before: list[DataFrame]) -> DataFrame:
+    """Links ``a, b`` among candidate pairs: first by size and agreement, then on full sets.
+
+    Pairs in ``before`` have been looked at in earlier rounds; new ones are added to it.
+    """
+    for seen in before:
+        pairs = pairs.join(seen, ["a", "b"], "left_anti")
     for side in ("a", "b"):
         theirs = reps.select(F.col("v").alias(side), F.col("n").alias(f"n_{side}"), F.col("data").alias(f"data_{side}"))
         pairs = pairs.join(theirs, side)
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR
     likely = pairs.filter(sizes).filter(_agreement("data_a", "data_b") >= AGREE)
     likely = staged(likely.select("a", "b").distinct(), "likely")
+    before.append(likely)
     if not staged_metrics(likely)["rows"]:
         return likely
-    wanted = staged(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     full = staged(_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), True), "sets")
     for side in ("a", "b"):
         likely = likely.join(full.select(F.col("doc_id").alias(side), F.col("data").alias(f"set_{side}")), side)
@@ -135,7 +142,7 @@ def _round(members: DataFrame, labels: DataFrame | None, few: int, first: bool)
     pairs = out.join(small.select("node", F.col("v").alias("y"), "c"), "node").filter("cx <> c").select("x", "y")
     star = large.filter("v <> pivot").select(F.col("pivot").alias("x"), F.col("v").alias("y"))
     pairs = pairs.union(star).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b")
-    return staged(pairs.distinct(), "pairs"), large.select("node", "v"), staged_metrics(nodes)["large"] or 0
+    return pairs.distinct(), large.select("node", "v"), staged_metrics(nodes)["large"] or 0
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -153,16 +160,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mine = staged(valid.select("doc_id", "digest").join(reps.select("digest", "v"), "digest"), "own")
     # an id with several texts joins their groups
     links = mine.filter("doc_id <> v").join(reps.select(F.col("v").alias("doc_id")), "doc_id", "left_semi")
-    links = links.select(F.col("doc_id").alias("a"), F.col("v").alias("b"))
+    links = staged(links.select(F.col("doc_id").alias("a"), F.col("v").alias("b")), "shared_ids")
     roots = [F.xxhash64(F.lit(f), _value(F.lit(f))) for f in range(TREES * ROOT_BRANCHES)]
-    members = staged(_children(reps, roots), "members")
-    labels = None
+    members = _children(reps, roots)
+    labels, before = None, []
     rest = FUNCTIONS - len(roots)
     for number in range(ROUNDS):
-        few = FEW if number < ROUNDS - 1 else 2**62  # the last round compares what is left
+        few = (FEW if number else FEW_FIRST) if number < ROUNDS - 1 else 2**62  # the last compares all that is left
         pairs, large, n_large = _round(members, labels, few, number == 0)
-        links = staged(links.union(_confirmed(docs, reps, pairs)), "links")
-        labels = components(links)
+        found = _confirmed(docs, reps, pairs, before)
+        links = links.union(found)
+        if labels is None or staged_metrics(found)["rows"]:
+            labels = components(links)
         if not n_large:
             break
         below = large.join(reps.select("v", "data"), "v")
@@ -170,7 +179,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ways = [F.xxhash64("node", F.lit(j), _value(function(j))) for j in range(BRANCHES)]
         members = staged(_children(below, ways).distinct(), "members")
     by_set = reps.select("digest", "v").join(labels, "v", "left").select("digest", F.coalesce("c", "v").alias("component_id"))
-    by_set = staged(by_set, "by_set")
     df = sets.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(by_set, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     df = df.withColumn("component_id", component)
