@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleanwork.llm import lines, mixing, near, packing, quality
+from gleanwork.llm import counts, lines, mixing, near, packing, quality, toxicity
+from gleanwork.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -65,3 +66,13 @@ def op7_packing(spark, sf):
 @query
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
+
+
+@query
+def op9_toxicity(spark, sf):
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op10_token_counts(spark, sf):
+    return counts.corpus_totals(table(spark, sf, "documents"), fresh_path(spark, "rollup"))
