@@ -1,6 +1,6 @@
 """Packing documents into sequences along a space-filling curve.
 
-Hashed word counts of a document are projected to three dimensions, and the place on a
+Hashed counts of a document's short runs of bytes are projected to three dimensions, and the place on a
 Hilbert curve through them is its sort key. Documents are sorted by range over all tasks,
 so one task has neighbours on the curve; it lays their tokens end to end and cuts them into
 sequences. Only the last sequence of a task can be short.
@@ -18,12 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanwork.llm.hashing import WordHashes
 from gleanwork.llm.tokens import Tokens, default_path
 
 LENGTH = 1024
 END = 0
-BUCKETS = 256
+BUCKETS = 256  # by the upper eight bits of a 32-bit hash
 DIMENSIONS = 3
 BITS = 16
 SPREAD = 2.0  # projections of unit vectors beyond this lie on the cube's faces
@@ -59,11 +58,17 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 @F.pandas_udf(T.LongType())
 def curve_place(texts: pd.Series) -> pd.Series:
-    """Place of each text on the curve; a text without words lies in the middle."""
-    table = WordHashes()
+    """Place of each text on the curve; a text of fewer than four bytes lies in the middle.
+
+    The vector counts a text's runs of four bytes by a hash.
+    """
     vectors = np.zeros((len(texts), BUCKETS))
     for row, text in enumerate(texts):
-        buckets = (table.of((text or "").encode("utf-8", "surrogatepass").split()) % np.uint64(BUCKETS)).astype(np.int64)
+        x = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
+        if len(x) < 4:
+            continue
+        h = ((x[:-3] * np.uint32(31) + x[1:-2]) * np.uint32(31) + x[2:-1]) * np.uint32(31) + x[3:]
+        buckets = (h * np.uint32(2654435761)) >> np.uint32(24)
         vectors[row] = np.log1p(np.bincount(buckets, minlength=BUCKETS))
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     axes = np.random.default_rng(5).standard_normal((BUCKETS, DIMENSIONS))
