@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleanwork.llm import counts, lines, mixing, near, packing, quality, toxicity
+from gleanwork.llm import counts, lines, mixing, near, packing, quality, toxicity, vectors
 from gleanwork.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op9_toxicity(spark, sf):
 @query
 def op10_token_counts(spark, sf):
     return counts.corpus_totals(table(spark, sf, "documents"), fresh_path(spark, "rollup"))
+
+
+@query
+def op3_embedding_dedup(spark, sf):
+    return vectors.near_vectors(table(spark, sf, "embeddings"))
