@@ -28,7 +28,7 @@ from gleanwork.llm.components import components
 SIMILAR = 0.95
 BLOCKS = 4
 CODEWORDS = 32
-CODES = 2
+CODES = 4
 DEVIATIONS = 4.0
 
 
