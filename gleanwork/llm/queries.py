@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleanwork.llm import counts, lines, mixing, near, packing, quality, toxicity, vectors
+from gleanwork.llm import counts, lines, mixing, near, packing, quality, substrings, toxicity, vectors
 from gleanwork.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op10_token_counts(spark, sf):
 @query
 def op3_embedding_dedup(spark, sf):
     return vectors.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op1_substring_dedup(spark, sf):
+    rows = substrings.without_repeats(table(spark, sf, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
