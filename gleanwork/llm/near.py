@@ -7,6 +7,10 @@ probability s per branch, so similar sets stay together while others part. Nodes
 sets outside their largest known group are compared exhaustively; larger ones are compared
 with one member and branch again. Every link is confirmed on full sets.
 
+Only sets that no known link joins are compared, and in two steps: first each set with the
+most promising ones, which joins most of a large group, then all that are still apart. The
+comparison runs in blocks of a node's sets, so no join lists the pairs of a node.
+
 With ``TREES`` times ``ROOT_BRANCHES`` first children and two branches below, a pair at
 similarity 0.75 is missed with probability below 2e-6.
 """
@@ -37,22 +41,25 @@ BRANCHES = 2
 ROUNDS = 8
 # Sets outside a node's largest group up to which all its pairs are compared, in the first
 # round, where every set is a group of its own, and later.
-FEW_FIRST, FEW = 8, 64
-# Of 64 functions, similar sets agree on 48 on average; 26 lies over six deviations below.
-AGREE = 26
+FEW_FIRST, FEW = 8, 512
+BLOCK = 1024
+# Of 64 functions, similar sets agree on 48 on average; 34 lies four deviations below.
+AGREE = 34
 
 
 def _set_rows(batches: Iterator, keep_set: bool) -> Iterator:
-    """Per row: id, set size, digest of the set, and its smallest values or the set itself."""
+    """Per row: id, set size, digest of the set, its smallest values or the set itself, and
+    the last byte of each value."""
     table = WordHashes(fold=bytes.lower)
     masks = mixed(multipliers(FUNCTIONS, 11))[:, None]
     factors = multipliers(FUNCTIONS, 12)[:, None]
     for batch in batches:
-        out = {"doc_id": batch.column(0), "n": [], "digest": [], "data": []}
+        out = {"doc_id": batch.column(0), "n": [], "digest": [], "data": [], "brief": []}
         for text in batch.column(1):
             found = shingles(table.of((text.as_py() or "").encode("utf-8", "surrogatepass").split()), SHINGLE)
             out["n"].append(len(found))
             out["digest"].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+            brief = b""
             if keep_set:
                 out["data"].append(found.tobytes())
             elif len(found):
@@ -61,9 +68,11 @@ def _set_rows(batches: Iterator, keep_set: bool) -> Iterator:
                     values = (found[None, at : at + 1024] ^ masks) * factors
                     least = np.minimum(least, values.min(axis=1) >> np.uint64(32))
                 out["data"].append(least.astype(">u4").tobytes())
+                brief = least.astype("u1").tobytes()
             else:
                 out["data"].append(b"")
-        kinds = [batch.schema.field(0).type, pa.int64(), pa.binary(), pa.binary()]
+            out["brief"].append(brief)
+        kinds = [batch.schema.field(0).type, pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) if isinstance(v, list) else v for v, t in zip(out.values(), kinds)], list(out))
 
 
@@ -71,13 +80,13 @@ def _sets(docs: DataFrame, keep_set: bool) -> DataFrame:
     def rows(batches):
         yield from _set_rows(batches, keep_set)
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, digest binary, data binary"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, digest binary, data binary, brief binary"
     return docs.select("doc_id", "text").mapInArrow(rows, schema)
 
 
 @F.pandas_udf(T.IntegerType())
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    x, y = (np.frombuffer(b"".join(s), dtype=">u4").reshape(len(s), -1) for s in (a, b))
+    x, y = (np.frombuffer(b"".join(s), dtype="u1").reshape(len(s), -1) for s in (a, b))
     return pd.Series((x == y).sum(axis=1).astype("int32"))
 
 
@@ -108,10 +117,10 @@ def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, before: list[
     for seen in before:
         pairs = pairs.join(seen, ["a", "b"], "left_anti")
     for side in ("a", "b"):
-        theirs = reps.select(F.col("v").alias(side), F.col("n").alias(f"n_{side}"), F.col("data").alias(f"data_{side}"))
+        theirs = reps.select(F.col("v").alias(side), F.col("n").alias(f"n_{side}"), F.col("brief").alias(f"brief_{side}"))
         pairs = pairs.join(theirs, side)
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR
-    likely = pairs.filter(sizes).filter(_agreement("data_a", "data_b") >= AGREE)
+    likely = pairs.filter(sizes).filter(_agreement("brief_a", "brief_b") >= AGREE)
     likely = staged(likely.select("a", "b").distinct(), "likely")
     before.append(likely)
     if not staged_metrics(likely)["rows"]:
@@ -123,26 +132,80 @@ def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, before: list[
     return staged(likely.filter(_similar("set_a", "set_b")).select("a", "b").distinct(), "confirmed")
 
 
-def _round(members: DataFrame, labels: DataFrame | None, few: int, first: bool) -> tuple[DataFrame, DataFrame, int]:
-    """Pairs to confirm in this round's nodes, the members of nodes to branch, and their number."""
+def _grouped(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     c = F.col("v") if labels is None else F.coalesce("c", "v")
     rows = members if labels is None else members.join(labels, "v", "left")
-    rows = rows.select("node", "v", c.alias("c"))
+    return rows.select("node", "v", c.alias("c"))
+
+
+def _open(members: DataFrame, labels: DataFrame | None, few: int, first: bool) -> tuple[DataFrame, dict]:
+    """Members of the nodes that hold more than one known group, with figures of the node."""
+    rows = _grouped(members, labels)
     groups = rows.groupBy("node", "c").agg(F.count(F.lit(1)).alias("k"), F.min("v").alias("least"), F.min_by("v", F.xxhash64("v", "node")).alias("any"))
     nodes = groups.groupBy("node").agg(
         F.count(F.lit(1)).alias("groups"),
+        F.sum("k").alias("size"),
         (F.sum("k") - F.max("k")).alias("outside"),
         F.max(F.struct("k", "c"))["c"].alias("top"),
         (F.min("least") if first else F.min_by("any", F.xxhash64("any", "node"))).alias("pivot"),
     )
     nodes = staged(nodes.filter("groups > 1").drop("groups"), "nodes", large=F.sum((F.col("outside") > few).cast("bigint")))
-    rows = staged(rows.join(nodes, "node"), "open")
-    small, large = rows.filter(F.col("outside") <= few), rows.filter(F.col("outside") > few)
-    out = small.filter("c <> top").select("node", F.col("v").alias("x"), F.col("c").alias("cx"))
-    pairs = out.join(small.select("node", F.col("v").alias("y"), "c"), "node").filter("cx <> c").select("x", "y")
+    return staged(rows.join(nodes, "node"), "open"), staged_metrics(nodes)
+
+
+def _star(large: DataFrame) -> DataFrame:
+    """Each member of a large node with its pivot."""
     star = large.filter("v <> pivot").select(F.col("pivot").alias("x"), F.col("v").alias("y"))
-    pairs = pairs.union(star).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b")
-    return pairs.distinct(), large.select("node", "v"), staged_metrics(nodes)["large"] or 0
+    return star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _few_pairs(small: DataFrame) -> DataFrame:
+    """All pairs in nodes of at most ``FEW_FIRST`` sets and one."""
+    theirs = small.select("node", F.col("v").alias("b"))
+    return small.select("node", F.col("v").alias("a")).join(theirs, "node").filter("a < b").select("a", "b")
+
+
+def _block_pairs(small: DataFrame, reps: DataFrame, promising: bool) -> DataFrame:
+    """Likely pairs of a set outside a node's largest group with one of another group.
+
+    A node is cut into a grid of blocks and each is compared in one task. ``promising``
+    gives, for each set and block, the likeliest partner in the largest group and the
+    likeliest elsewhere.
+    """
+    rows = small.join(reps.select("v", "n", "brief"), "v")
+    cuts = {"o": F.ceil(F.col("outside") / BLOCK).cast("int"), "m": F.ceil(F.col("size") / BLOCK).cast("int")}
+    place = lambda side: F.pmod(F.xxhash64("v"), cuts[side]).cast("int").alias(side)
+    every = lambda side: F.explode(F.sequence(F.lit(0), cuts[side] - 1)).alias(side)
+    kept = ["node", "v", "c", "n", "brief", (F.col("c") == F.col("top")).alias("in_top")]
+    members = rows.select(*kept, F.lit(False).alias("out"), place("m"), every("o"))
+    outside = rows.filter("c <> top").select(*kept, F.lit(True).alias("out"), every("m"), place("o"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        out = block["out"].to_numpy()
+        ids = block["v"].combine_chunks()
+        n = block["n"].to_numpy()
+        group = pd.factorize(block["c"].to_pandas())[0]
+        brief = np.frombuffer(b"".join(block["brief"].to_pylist()), dtype="u1").reshape(len(out), -1)
+        in_top = block["in_top"].to_numpy()
+        left, right = np.flatnonzero(out), np.flatnonzero(~out)
+        xs, ys = [], []
+        for x in left:
+            sizes = 100 * np.minimum(n[x], n[right]) >= SIMILAR * np.maximum(n[x], n[right])
+            near = right[sizes & (group[right] != group[x])]
+            agree = (brief[near] == brief[x]).sum(axis=1)
+            near, agree = near[agree >= AGREE], agree[agree >= AGREE]
+            if promising:
+                sides = [np.flatnonzero(in_top[near]), np.flatnonzero(~in_top[near])]
+                near = near[[side[agree[side].argmax()] for side in sides if len(side)]] if len(near) else near
+            xs.append(np.full(len(near), x))
+            ys.append(near)
+        empty = np.empty(0, dtype=np.int64)
+        ends = [ids.take(pa.array(np.concatenate([empty, *side]).astype(np.int64))) for side in (xs, ys)]
+        return pa.table(ends, ["x", "y"])
+
+    kind = reps.schema["v"].dataType.simpleString()
+    pairs = members.unionByName(outside).groupBy("node", "o", "m").applyInArrow(compare, f"x {kind}, y {kind}")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -155,8 +218,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     sets = staged(_sets(docs, False), "signatures")
     valid = sets.filter("n > 0 and doc_id is not null")
-    reps = valid.groupBy("digest").agg(F.min("doc_id").alias("v"), F.any_value("n").alias("n"), F.any_value("data").alias("data"))
-    reps = staged(reps, "representatives")
+    reps = valid.groupBy("digest").agg(F.min("doc_id").alias("v"), F.any_value("n").alias("n"), F.any_value(F.struct("data", "brief")).alias("s"))
+    reps = staged(reps.select("digest", "v", "n", "s.*"), "representatives")
     mine = staged(valid.select("doc_id", "digest").join(reps.select("digest", "v"), "digest"), "own")
     # an id with several texts joins their groups
     links = mine.filter("doc_id <> v").join(reps.select(F.col("v").alias("doc_id")), "doc_id", "left_semi")
@@ -167,11 +230,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = FUNCTIONS - len(roots)
     for number in range(ROUNDS):
         few = (FEW if number else FEW_FIRST) if number < ROUNDS - 1 else 2**62  # the last compares all that is left
-        pairs, large, n_large = _round(members, labels, few, number == 0)
-        found = _confirmed(docs, reps, pairs, before)
-        links = links.union(found)
-        if labels is None or staged_metrics(found)["rows"]:
-            labels = components(links)
+        rows, seen = _open(members, labels, few, number == 0)
+        small, large = rows.filter(F.col("outside") <= few), rows.filter(F.col("outside") > few)
+        n_large = seen["large"] or 0
+
+        def link(pairs):
+            nonlocal links, labels
+            found = _confirmed(docs, reps, pairs.distinct(), before)
+            links = links.union(found)
+            if labels is None or staged_metrics(found)["rows"]:
+                labels = components(links)
+
+        if number == 0:
+            link(_few_pairs(small).union(_star(large)))
+        else:
+            link(_block_pairs(small, reps, True).union(_star(large)))
+            if seen["rows"] > n_large:
+                apart, _ = _open(small.select("node", "v"), labels, few, False)
+                link(_block_pairs(apart, reps, False))
         if not n_large:
             break
         below = large.join(reps.select("v", "data"), "v")
