@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from gleanwork.session import stage, staged_metrics
 
@@ -14,26 +13,21 @@ from gleanwork.session import stage, staged_metrics
 ROWS_PER_TASK = 1_000_000
 # A table of narrow rows is broadcast up to this many of them.
 BROADCAST_ROWS = 100_000
-# No more keys than this can each hold over a thousandth of the rows.
-MAX_HEAVY_KEYS = 1_000
 
 
 @dataclass
 class KeyLoad:
-    """The most frequent keys of a table, at most ``MAX_HEAVY_KEYS`` of them."""
+    """The keys of a table that have more than ``rows_per_task`` rows; None if no key has."""
 
     on: list[str]
-    top: list[Row]
-    schema: StructType | None
+    heavy: DataFrame | None
     rows_per_task: int
 
-    def splits(self, spark: SparkSession) -> DataFrame | None:
+    def splits(self) -> DataFrame | None:
         """Number of splits per key to spread, None when no key is that heavy."""
-        heavy = [row for row in self.top if row["_n"] > self.rows_per_task]
-        if not heavy:
+        if self.heavy is None:
             return None
-        table = spark.createDataFrame(heavy, self.schema)
-        return table.select(*self.on, F.ceil(F.col("_n") / self.rows_per_task).cast("int").alias("_splits"))
+        return self.heavy.select(*self.on, F.ceil(F.col("_n") / self.rows_per_task).cast("int").alias("_splits"))
 
 
 def key_counts(df: DataFrame, on: list[str]) -> DataFrame:
@@ -41,19 +35,19 @@ def key_counts(df: DataFrame, on: list[str]) -> DataFrame:
 
 
 def load_of(counts: DataFrame, on: list[str], rows_per_task: int = ROWS_PER_TASK) -> KeyLoad:
-    """Look up the most frequent keys in exact ``counts(on, _n)``.
+    """Write the heavy keys of exact ``counts(on, _n)``, however many there are.
 
-    This runs a job whose result has a fixed size. Mostly no key is heavy and the
-    joins that follow stay plain.
+    A table has at most one such key per ``rows_per_task`` rows. Mostly no key is heavy
+    and the joins that follow stay plain.
     """
-    ordered = counts.select(*on, "_n").orderBy(F.col("_n").desc(), *on)
-    return KeyLoad(on, ordered.take(MAX_HEAVY_KEYS), ordered.schema, rows_per_task)
+    heavy = stage(counts.select(*on, "_n").filter(F.col("_n") > rows_per_task), "heavy_keys")
+    return KeyLoad(on, heavy if staged_metrics(heavy)["rows"] else None, rows_per_task)
 
 
 def key_load(
     df: DataFrame, on: list[str], rows_per_task: int = ROWS_PER_TASK, at_most: int | None = None
 ) -> KeyLoad:
-    """Most frequent keys of ``df``.
+    """Heavy keys of ``df``.
 
     No job is needed when the whole table, by ``at_most`` or as staged, has no more
     rows than one task takes.
@@ -61,7 +55,7 @@ def key_load(
     if at_most is None and staged_metrics(df) is not None:
         at_most = staged_metrics(df)["rows"]
     if at_most is not None and at_most <= rows_per_task:
-        return KeyLoad(on, [], None, rows_per_task)
+        return KeyLoad(on, None, rows_per_task)
     return load_of(key_counts(df, on), on, rows_per_task)
 
 
@@ -70,7 +64,7 @@ def _spread(df: DataFrame, on: list[str], by: list[str], splits: DataFrame | Non
     if splits is None:
         return df
     number = F.pmod(F.xxhash64(*by), F.coalesce("_splits", F.lit(1))).cast("int")
-    return df.join(F.broadcast(splits), on, "left").withColumn(name, number).drop("_splits")
+    return df.join(splits, on, "left").withColumn(name, number).drop("_splits")
 
 
 def _repeat(df: DataFrame, on: list[str], splits: DataFrame | None, name: str) -> DataFrame:
@@ -78,7 +72,7 @@ def _repeat(df: DataFrame, on: list[str], splits: DataFrame | None, name: str) -
     if splits is None:
         return df
     numbers = F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)
-    return df.join(F.broadcast(splits), on, "left").withColumn(name, F.explode(numbers)).drop("_splits")
+    return df.join(splits, on, "left").withColumn(name, F.explode(numbers)).drop("_splits")
 
 
 def split_join(
@@ -96,15 +90,14 @@ def split_join(
     Left rows are spread by a hash of the ``spread`` columns; the right rows of the
     same key are repeated once per split, so the result is that of the plain join.
     Works for inner, left, left_semi and left_anti. For keys heavy on both sides an
-    inner join takes ``right_load`` too and cuts the key into a grid. Only the heavy
-    key lists are broadcast and their size is fixed.
+    inner join takes ``right_load`` too and cuts the key into a grid. The heavy keys are
+    a written table, which Spark broadcasts only if its size allows.
     """
     if right_load is not None and how != "inner":
         raise ValueError("both sides can be spread in an inner join only")
-    spark = left.sparkSession
     keys = list(on)
-    by_left = load.splits(spark)
-    by_right = right_load.splits(spark) if right_load is not None else None
+    by_left = load.splits()
+    by_right = right_load.splits() if right_load is not None else None
     left = _repeat(_spread(left, on, spread, by_left, "_split"), on, by_right, "_cut")
     right = _spread(_repeat(right, on, by_left, "_split"), on, right_spread or on, by_right, "_cut")
     if by_left is not None:

@@ -41,7 +41,7 @@ def test_split_join_in_a_grid(hot):
 
 def test_heavy_key_is_spread(spark, hot):
     left, _ = hot
-    splits = skew.key_load(left, ["k"], 10).splits(spark)
+    splits = skew.key_load(left, ["k"], 10).splits()
     assert {r["k"]: r["_splits"] for r in splits.collect()}["hot"] == 10
 
 
@@ -228,3 +228,12 @@ def test_allowed_domain_equals_join_key(spark):
     table = spark.createDataFrame([(h, d) for h in ("a.b.c", "b.c", "xb.c") for d in ("b.c", "c", "a.b.c", "d")], "h string, d string")
     differs = table.filter(allowed_domain("h", "d") != F.array_contains(host_domains("h"), F.col("d")))
     assert differs.isEmpty()
+
+
+def test_every_heavy_key_is_spread(spark):
+    left = spark.range(4500).selectExpr("id % 1500 k", "id i")
+    right = spark.range(1500).selectExpr("id k", "id * 2 j")
+    load = skew.key_load(left, ["k"], 2)
+    assert load.splits().filter("_splits = 2").count() == 1500
+    joined = skew.split_join(left, right, ["k"], ["i"], load)
+    assert joined.filter("j = 2 * k").count() == joined.count() == 4500
