@@ -89,3 +89,12 @@ select doc_id, size, source_size, target,
   cast(size * (floor(rate) + (u < rate - floor(rate))::int) as bigint) as taken
 from rates
 """
+
+ORACLE["op12_exact_dedup"] = """
+with d as (
+  select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+  doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
+from d
+"""

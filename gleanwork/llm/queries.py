@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleanwork.llm import counts, lines, mixing, near, packing, pii, quality, substrings, toxicity, vectors
+from gleanwork.llm import chunks, counts, lines, mixing, near, packing, pii, quality, substrings, toxicity, vectors
 from gleanwork.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op5_pii(spark, sf):
     rows = pii.personal_data(table(spark, sf, "documents"))
     base, every = pii.written(F.col("base")), pii.written(F.concat("base", "added"))
     return rows.select("doc_id", *[pii.count_of(kind) for kind in pii.BASE], F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
+@query
+def op12_exact_dedup(spark, sf):
+    return chunks.exact_groups(table(spark, sf, "documents"))
