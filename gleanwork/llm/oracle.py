@@ -98,3 +98,60 @@ select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (part
   doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
 from d
 """
+
+_ITEM = "coalesce(cast(octet_length(encode(cast({0} as varchar))) as varchar) || ':' || cast({0} as varchar), '-')"
+_LEAF = "sha256(" + " || ".join(_ITEM.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+# the usual CRC-32, bit by bit: a byte is mixed in, then eight shifts
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(cast(4294967295 as ubigint), flatten(list_transform(
+    range(1, length(cast(doc_id as varchar)) + 1), lambda i: [cast(ascii(substr(cast(doc_id as varchar), i, 1)) as ubigint), 256, 256, 256, 256, 256, 256, 256, 256]))),
+    lambda c, x: case when x < 256 then xor(c, x) else xor(c >> 1, (c & 1) * 3988292384) end))"""
+
+ORACLE["op11_merkle_manifest"] = f"""
+with recursive leaf as (
+  select doc_id, source, {_LEAF.format(text="text")} as h,
+    {_LEAF.format(text=f"(case when {_CRC32} % 2 = 0 then replace(text, chr(10), '') else text end)")} as changed
+  from documents
+), placed as (
+  select *, row_number() over (partition by source order by doc_id, h) - 1 as place from leaf
+), up(source, l, i, h) as (
+  select source, 0, place, h from placed
+  union all
+  select source, l + 1, i // 3, sha256(string_agg(h, '' order by i))
+  from (select *, count(*) over (partition by source) as c from up) where c > 1 group by source, l, i // 3
+), subroot as (
+  select source, max(l) as top, max_by(h, l) as h, row_number() over (order by source nulls first) - 1 as place from up group by source
+), over_up(l, i, h) as (
+  select 0, place, h from subroot
+  union all
+  select l + 1, i // 3, sha256(string_agg(h, '' order by i)) from over_up where (select count(*) from over_up) > 1 group by l, i // 3
+), root as (
+  select max(l) as top, max_by(h, l) as h from over_up
+), siblings as (
+  select p.doc_id, p.h as leaf, 0 as part, u.l, u.i, u.h
+  from placed p join up u on u.source is not distinct from p.source
+    and u.i // 3 = p.place // cast(pow(3, u.l + 1) as bigint) and u.i <> p.place // cast(pow(3, u.l) as bigint)
+  union all
+  select p.doc_id, p.h, 1, u.l, u.i, u.h
+  from placed p join subroot s on s.source is not distinct from p.source
+  join over_up u on u.i // 3 = s.place // cast(pow(3, u.l + 1) as bigint) and u.i <> s.place // cast(pow(3, u.l) as bigint)
+), proof as (
+  select doc_id, leaf, sha256(string_agg(h, '' order by part, l, i)) as p from siblings group by 1, 2
+), fold(doc_id, leaf, source, l, i, h) as (
+  select doc_id, h, source, 0, place, changed from placed
+  union all
+  select f.doc_id, f.leaf, f.source, f.l + 1, f.i // 3, sha256(string_agg(case when u.i = f.i then f.h else u.h end, '' order by u.i))
+  from fold f join subroot s on s.source is not distinct from f.source and f.l < s.top
+  join up u on u.source is not distinct from f.source and u.l = f.l and u.i // 3 = f.i // 3
+  group by f.doc_id, f.leaf, f.source, f.l, f.i
+), over_fold(doc_id, leaf, l, i, h) as (
+  select f.doc_id, f.leaf, 0, s.place, f.h from fold f join subroot s on s.source is not distinct from f.source and f.l = s.top
+  union all
+  select f.doc_id, f.leaf, f.l + 1, f.i // 3, sha256(string_agg(case when u.i = f.i then f.h else u.h end, '' order by u.i))
+  from over_fold f join root r on f.l < r.top join over_up u on u.l = f.l and u.i // 3 = f.i // 3
+  group by f.doc_id, f.leaf, f.l, f.i
+)
+select p.doc_id, p.h as leaf, s.h as subroot, r.h as root, coalesce(q.p, sha256('')) as proof_sha256, f.h as folded_root, f.h = r.h as verified
+from placed p join subroot s on s.source is not distinct from p.source cross join root r
+left join proof q on q.doc_id is not distinct from p.doc_id and q.leaf = p.h
+join over_fold f on f.l = r.top and f.doc_id is not distinct from p.doc_id and f.leaf = p.h
+"""
