@@ -155,3 +155,24 @@ from placed p join subroot s on s.source is not distinct from p.source cross joi
 left join proof q on q.doc_id is not distinct from p.doc_id and q.leaf = p.h
 join over_fold f on f.l = r.top and f.doc_id is not distinct from p.doc_id and f.leaf = p.h
 """
+
+ORACLE["op13_hard_negatives"] = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+    cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) as bigint) as score
+  from e a join e b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 100 = 0
+), p as (
+  select * from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as k from s where same) where k <= 5
+), n as (
+  select p.anchor_id, p.vec_id as positive_id, p.score as positive_score, s.vec_id as negative_id, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) as k
+  from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score
+)
+select anchor_id, positive_id, cast(k as integer) as rank, negative_id, positive_score, negative_score from n where k <= 5
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleanwork.llm import chunks, counts, lines, merkle, mixing, near, packing, pii, quality, substrings, toxicity, vectors
+from gleanwork.llm import chunks, counts, lines, merkle, mixing, near, negatives, packing, pii, quality, substrings, toxicity, vectors
 from gleanwork.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op11_merkle_manifest(spark, sf):
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     cut = F.when(crc % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return merkle.manifest(table(spark, sf, "documents"), cut)
+
+
+@query
+def op13_hard_negatives(spark, sf):
+    return negatives.hard_negatives(negatives.moved_labels(table(spark, sf, "embeddings")))
