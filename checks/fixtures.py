@@ -144,6 +144,18 @@ FIXTURES: dict[str, str] = {
         select m.msg_id as req_id, s.github_api_key, s.use_api, s.scraping_depth, s.scraping_max_pages,
                s.use_chrome, s.use_firefox
         from {f_messages} m join {f_settings} s on s.req_id = m.conv_id""",
+    # commands of users over a month, with the time they were sent
+    "f_timed_messages": """
+        select cast(e.event_id as string) as msg_id, e.ts as sent_at,
+               case e.event_type
+                 when 'view' then '@getcode ' || k.full_name
+                 when 'click' then '@getcode ' || k.full_name
+                 when 'purchase' then '@getcodedoc ' || p.url
+                 when 'signup' then '@getcode widget'
+                 else 'thanks' end as msg
+        from {events} e
+        join {f_catalog} k on k.rank = e.user_id
+        join {f_docs_urls} p on p.page_id = e.user_id""",
     # pages stored by an earlier run
     "f_existing": "select page_id, url from {f_sites} where site like '%.com'",
     # a remote tree: continents hold nations, nations hold customers, customers hold orders

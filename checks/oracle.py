@@ -345,6 +345,13 @@ _TEXTS: dict[str, str] = {
         select full_name, dir || '/' || file as path, case when supported then 2 else 1 end as version from {f_files}""",
     "route_stream": "with " + _COMMANDS + " select msg_id, cmd, arg from routed",
     "seen_stream": "with " + _COMMANDS + " select distinct cmd, arg from routed",
+    "requests_seen_lately": """
+        with said as (select msg_id, sent_at, msg from {f_timed_messages} where msg <> 'thanks'),
+        asked as (select msg_id, sent_at, case when starts_with(msg, '@getcodedoc ') then 'getcodedoc' else 'getcode' end as cmd,
+                         trim(substr(msg, strpos(msg, ' '))) as arg from said),
+        gaps as (select *, lag(sent_at) over (partition by cmd, arg order by sent_at, msg_id) as before from asked)
+        select cmd, arg, msg_id as first_id, strftime(sent_at, '%Y-%m-%d %H:%M:%S.%f') as first_seen
+        from gaps where before is null or sent_at - before > interval 2 days""",
     "get_code_status": "with " + _CODE + f"""
         select req_id, q, n_results, status, exact, full_name, search_mode, fetch_mode, branch,
                case when fetch_mode = 'zip' and branch is not null

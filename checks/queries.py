@@ -18,12 +18,13 @@ from gleanwork.operators.settings import resolve_settings
 from gleanwork.operators.skew import first_per_group, last_per_group
 from gleanwork.plans.get_code import get_code
 from gleanwork.plans.get_docs import get_docs
-from gleanwork.session import fresh_path
+from gleanwork.session import fresh_path, stage
 from gleanwork.sinks import manifest, run_log, tables
 from gleanwork.sources import archives, search, storage, trees
 from gleanwork.sources.requests import read_requests
 from gleanwork.sources.storage import open_store
 from gleanwork.streaming import requests as streams
+from gleanwork.streaming.seen import write_seen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -518,6 +519,27 @@ def seen_stream(spark, sf):
     return spark.read.parquet(out).select("cmd", "arg")
 
 
+@query
+def requests_seen_lately(spark, sf):
+    """Requests after a silence of two days, from deliveries out of order with repeats and restarts."""
+    folder, out, checkpoint = (fresh_path(spark, name) for name in ("timed", "seen_lately", "offsets"))
+    sent = fixture(spark, sf, "f_timed_messages").withColumn("sent_at", F.col("sent_at").cast("timestamp"))
+    # a message is up to two days under way, so a delivery holds messages older than some before it
+    arrival = F.dayofmonth("sent_at") + F.pmod(F.xxhash64("msg_id"), F.lit(3))
+    late = sent.withColumn("delivery", F.when(arrival <= 11, 0).when(arrival <= 22, 1).otherwise(2))
+    again = late.filter(F.pmod(F.xxhash64("msg"), F.lit(4)) == 0).withColumn("delivery", F.least(F.col("delivery") + 1, F.lit(2)))
+    delivered = stage(late.unionByName(again), "deliveries")
+    # time goes on when the last request has been made
+    end = sent.agg((F.max("sent_at") + F.expr("interval 30 days")).alias("sent_at")).select(F.lit("end").alias("msg_id"), F.lit("").alias("msg"), "sent_at")
+    for number in range(3):
+        part = delivered.filter(F.col("delivery") == number).select("msg_id", "msg", "sent_at")
+        (part.unionByName(end) if number == 2 else part).coalesce(4).write.mode("append").parquet(folder)
+        seen = streams.requests_seen_lately(spark, folder, "2 days", "15 days")
+        write_seen(seen, out, checkpoint).awaitTermination()
+    at = F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_seen")
+    return spark.read.schema("cmd string, arg string, first_id string, first_seen timestamp").parquet(out).select("cmd", "arg", "first_id", at)
+
+
 # --- whole flows ---------------------------------------------------------------------
 
 

@@ -57,3 +57,4 @@ RAW_SEARCH_SCHEMA = "payload STRUCT<results: ARRAY<STRUCT<hl_name: STRING>>>"
 API_SEARCH_SCHEMA = "items ARRAY<STRUCT<full_name: STRING, html_url: STRING>>"
 
 MESSAGE_SCHEMA = "msg_id STRING, msg STRING"
+TIMED_MESSAGE_SCHEMA = "msg_id STRING, msg STRING, sent_at TIMESTAMP"
