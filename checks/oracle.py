@@ -72,6 +72,12 @@ def _walk(depth: str) -> str:
              where w.depth < {depth} and (l.host = w.site or ends_with(l.host, '.' || w.site)))"""
 
 
+_OWN_PAGES = """,
+    nearest as (select seed, node, min(depth) as depth from walk group by 1, 2)
+    select seed, node, depth from
+    (select *, row_number() over (partition by seed order by depth, node) as place from nearest)
+    where place <= case seed % 5 when 0 then 30 when 1 then 3 when 2 then 4 else 6 end"""
+
 _SHORT_KEY = "list_extract(string_split(url, '/'), -2)"
 
 _COMMANDS = """
@@ -293,6 +299,8 @@ _TEXTS: dict[str, str] = {
         select seed, node, depth from
         (select *, row_number() over (partition by seed order by depth, node) as place from nearest)
         where place <= 3 + seed % 9""",
+    "crawl_own_limits": "with " + _walk("case w.seed % 4 when 0 then 4 when 1 then 1 else 2 end") + _OWN_PAGES,
+    "crawl_resumed": "with " + _walk("case w.seed % 4 when 0 then 4 when 1 then 1 else 2 end") + _OWN_PAGES,
     "accumulate": "with " + _walk("2") + """,
         nearest as (select seed, node, min(depth) as depth from walk where depth > 0 group by 1, 2),
         stored as (select page_id as seed, page_id as node from {f_existing}),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import fixture
 from gleanwork.functions import requests as R
 from gleanwork.functions import urls as U
-from gleanwork.operators import catalog, crawl, files, links, pages
+from gleanwork.operators import catalog, crawl, files, links, pages, resume
 from gleanwork.operators.settings import resolve_settings
 from gleanwork.operators.skew import first_per_group, last_per_group
 from gleanwork.plans.get_code import get_code
@@ -375,6 +375,32 @@ def depth_limit(spark, sf):
     return crawl.crawl(fixture(spark, sf, "f_links"), own, depth=3, max_pages=11, include_seed=False)
 
 
+def _limited_seeds(spark, sf) -> DataFrame:
+    """Site crawls of which some name no limit, some a larger and some a smaller one than the common one."""
+    seeds = _site_seeds(spark, sf)
+    own_depth = F.when(F.col("seed") % 4 == 0, F.lit(4)).when(F.col("seed") % 4 == 1, F.lit(1))
+    own_pages = F.when(F.col("seed") % 5 == 0, F.lit(30)).when(F.col("seed") % 5 < 3, F.col("seed") % 5 + 2)
+    return seeds.withColumn("max_depth", own_depth).withColumn("max_pages", own_pages)
+
+
+@query
+def crawl_own_limits(spark, sf):
+    return crawl.crawl(fixture(spark, sf, "f_links"), _limited_seeds(spark, sf), depth=2, max_pages=6)
+
+
+@query
+def crawl_resumed(spark, sf):
+    """Pages, links and seeds that arrive in three runs, the last one with all of them again."""
+    links_, seeds = fixture(spark, sf, "f_links"), _limited_seeds(spark, sf)
+    nodes = fixture(spark, sf, "pages").select(F.col("page_id").alias("node"))
+    first = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)) > 0
+    store = resume.CrawlStore(spark, fresh_path(spark, "crawls"), pages_needed=True)
+    store.update(links_.filter(first("src", 3)), nodes.filter(first("node", 4)), seeds.filter(first("seed", 5)), depth=2, max_pages=6)
+    store.update(links_.filter(~first("src", 3)), None, seeds.filter(~first("seed", 5)), depth=2, max_pages=6)
+    store.update(links_, nodes, seeds, depth=2, max_pages=6)
+    return store.found()
+
+
 @query
 def accumulate(spark, sf):
     """Crawls that start with pages found by an earlier, shallower crawl."""
