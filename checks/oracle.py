@@ -164,6 +164,14 @@ _BROWSER = """
          then case when ('0x' || substr(md5(cast(req_id as varchar)), 1, 8))::bigint % 2 = 0 then 'chromium' else 'firefox' end
          when use_chrome then 'chromium' when use_firefox then 'firefox' end as browser"""
 
+_ARCHIVED = """
+    archived as (select 'own' || (doc_id % 10) || '/rep' || doc_id as full_name, 'main/text.txt' as entry,
+                        cast(octet_length(encode(text)) as bigint) as n, cast(0 as integer) as piece,
+                        sha256(text) as digest, cast(null as varchar) as problem from {documents}
+                 union all
+                 select 'own' || (doc_id % 10) || '/rep' || doc_id, 'main/id.txt', length(cast(doc_id as varchar)), 0,
+                        sha256(cast(doc_id as varchar)), null from {documents})"""
+
 _HREF = """(select page_id, url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
              '<a href="([^"]*)"', 1)) as href from {pages})"""
 # every link of the pages starts at the root of its site
@@ -198,6 +206,11 @@ _TEXTS: dict[str, str] = {
         select 'own' || (doc_id % 10) || '/rep' || doc_id as full_name,
                '/data/repos/own' || (doc_id % 10) || '/rep' || doc_id || '/main/' || unnest(['text.txt', 'id.txt']) as path
         from {documents}""",
+    "archive_contents": "with " + _ARCHIVED + """
+        select * from archived
+        union all
+        select 'own' || (doc_id % 10) || '/text' || doc_id, null, null, null, null, 'bad_archive' from {documents}""",
+    "archives_stream": "with " + _ARCHIVED + " select * from archived",
     "list_tree": """
         select r_name as full_name, 'o' || o_orderkey as id, n_name || '/' || c_name || '/order-' || o_orderkey || '.txt' as path
         from {orders} join {customer} on c_custkey = o_custkey join {nation} on n_nationkey = c_nationkey

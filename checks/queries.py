@@ -20,7 +20,7 @@ from gleanwork.plans.get_code import get_code
 from gleanwork.plans.get_docs import get_docs
 from gleanwork.session import fresh_path, stage
 from gleanwork.sinks import manifest, run_log, tables
-from gleanwork.sources import archives, search, storage, trees
+from gleanwork.sources import archives, formats, search, storage, trees
 from gleanwork.sources.requests import read_requests
 from gleanwork.sources.storage import open_store
 from gleanwork.streaming import requests as streams
@@ -85,25 +85,60 @@ def unzip_entries(spark, sf):
     return unpacked.select("doc_id", "entry", "n", F.sha2("data", 256).alias("digest"), "problem")
 
 
-@query
-def read_repositories_zip(spark, sf):
-    """The zip source: archives are written as files by owner and read back unpacked."""
-    folder = fresh_path(spark, "archives")
-    packed = _document_archives(spark, sf)
+def _save_archives(packed: DataFrame, folder: str, prefix: str = "rep") -> None:
+    """Rows ``doc_id, content`` as files by owner."""
 
     def save(batches):
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"]):
                 store, owner = open_store(f"{folder}/own{doc_id % 10}")
                 store.create_dir(owner, recursive=True)
-                with store.open_output_stream(f"{owner}/rep{doc_id}.zip") as out:
+                with store.open_output_stream(f"{owner}/{prefix}{doc_id}.zip") as out:
                     out.write(content)
             yield pd.DataFrame({"n": [len(batch)]})
 
     packed.mapInPandas(save, "n bigint").agg(F.sum("n")).collect()
+
+
+@query
+def read_repositories_zip(spark, sf):
+    """The zip source: archives are written as files by owner and read back unpacked."""
+    folder = fresh_path(spark, "archives")
+    _save_archives(_document_archives(spark, sf), folder)
     return trees.read_repositories(spark, "zip", "/data/repos", folder=folder)
 
 
+def _entries(df: DataFrame) -> DataFrame:
+    """Unpacked entries with a digest in place of their content."""
+    name = F.regexp_extract("path", "([^/]+/[^/]+)[.]zip$", 1).alias("full_name")
+    return df.select(name, "entry", "n", "piece", F.sha2("content", 256).alias("digest"), "problem")
+
+
+@query
+def archive_contents(spark, sf):
+    """Archives as a data source, with their content; half of the files are no archives."""
+    folder = fresh_path(spark, "archives")
+    _save_archives(_document_archives(spark, sf), folder)
+    texts = fixture(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    _save_archives(texts, folder, "text")
+    formats.register_formats(spark)
+    return _entries(spark.read.format("archives").option("path", folder).load())
+
+
+@query
+def archives_stream(spark, sf):
+    """Archives that come in two deliveries, read by a stream that starts anew for the second."""
+    folder, out, checkpoint = (fresh_path(spark, name) for name in ("archives", "unpacked", "offsets"))
+    formats.register_formats(spark)
+    packed = _document_archives(spark, sf)
+    for later in (False, True):
+        _save_archives(packed.filter((F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0) == F.lit(later)), folder)
+        found = _entries(spark.readStream.format("archives").option("path", folder).load())
+        query = found.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out)
+        query.awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query
 def list_tree(spark, sf):
     return trees.list_tree(fixture(spark, sf, "f_tree"))

@@ -15,14 +15,21 @@ from gleanwork.functions.urls import extraction_folder
 from gleanwork.session import task_count
 from gleanwork.sources.storage import list_files, open_store
 
+# Archives below this size are read at once.
+SMALL_BYTES = 1 << 17
 ENTRY_SCHEMA = "entry string, n bigint, data binary, problem string"
 
 
-def _safe_name(name: str) -> str:
+def safe_name(name: str) -> str:
     """Entry path kept inside the target folder, as unpacking tools do."""
     return "/".join(part for part in name.split("/") if part not in ("", ".", ".."))
 
 
+def opened(source) -> zipfile.ZipFile:
+    """The archive in an open file of a store, which refuses to seek before the start of a small one."""
+    return zipfile.ZipFile(io.BytesIO(source.read()) if source.size() < SMALL_BYTES else source)
+
+
 class UnzipEntries:
     """One row per file of an archive; of equal names the last one stays.
 
@@ -39,7 +46,7 @@ class UnzipEntries:
         except zipfile.BadZipFile:
             yield None, None, None, "bad_archive"
             return
-        last = {_safe_name(info.filename): info for info in archive.infolist() if not info.is_dir()}
+        last = {safe_name(info.filename): info for info in archive.infolist() if not info.is_dir()}
         for name, info in last.items():
             try:
                 yield name, info.file_size, archive.read(info), None
@@ -77,13 +84,12 @@ def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = []
             try:
                 store, inner = open_store(path)
-                with store.open_input_file(inner) as source, zipfile.ZipFile(source) as archive:
+                with store.open_input_file(inner) as source, opened(source) as archive:
                     infos = archive.infolist()
-            # a file too short to be an archive makes the store refuse the seek
-            except (zipfile.BadZipFile, ValueError):
+            except zipfile.BadZipFile:
                 rows.append((path, 0, None, None, "bad_archive"))
                 infos = []
-            last = {_safe_name(info.filename): i for i, info in enumerate(infos) if not info.is_dir()}
+            last = {safe_name(info.filename): i for i, info in enumerate(infos) if not info.is_dir()}
             size = 0
             for entry, i in last.items():
                 rows.append((path, size // CHUNK_BYTES, i, entry, None))
@@ -105,7 +111,7 @@ def _read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if members.empty:
                 continue
             store, inner = open_store(path)
-            with store.open_input_file(inner) as source, zipfile.ZipFile(source) as archive:
+            with store.open_input_file(inner) as source, opened(source) as archive:
                 infos = archive.infolist()
                 for i, entry in zip(members["member"], members["entry"]):
                     # a batch that also holds rows without a member carries floats

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 from gleanwork.session import stage, staged_metrics, task_count
 
+# Entries of a folder that are passed on at a time.
+LISTING_SLICE = 10_000
 LISTING_SCHEMA = "dir string, file string, is_dir boolean, length bigint"
 
 
@@ -27,21 +31,34 @@ def open_store(path: str):
     return store, f"{base.rstrip('/')}/{inner}"
 
 
-def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow.fs import FileSelector, FileType
+def folder_entries(folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """Name, whether it is a folder, length and modification time in ns of a folder's entries.
+
+    Links to folders are left out, as a link to a folder above would never end.
+    """
+    from pyarrow.fs import FileSelector, FileType, LocalFileSystem
 
+    store, inner = open_store(folder)
+    if isinstance(store, LocalFileSystem):
+        with os.scandir(inner) as entries:
+            for entry in entries:
+                if entry.is_dir(follow_symlinks=False):
+                    yield entry.name, True, 0, 0
+                elif not entry.is_dir():
+                    # a link that leads nowhere has the length of the link
+                    stat = entry.stat(follow_symlinks=os.path.exists(entry.path))
+                    yield entry.name, False, stat.st_size, stat.st_mtime_ns
+        return
+    for info in store.get_file_info(FileSelector(inner)):
+        yield info.base_name, info.type == FileType.Directory, info.size or 0, info.mtime_ns or 0
+
+
+def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for folder in batch["dir"]:
-            store, inner = open_store(folder)
-            infos = store.get_file_info(FileSelector(inner))
-            yield pd.DataFrame(
-                {
-                    "dir": [folder] * len(infos),
-                    "file": [info.base_name for info in infos],
-                    "is_dir": [info.type == FileType.Directory for info in infos],
-                    "length": [info.size or 0 for info in infos],
-                }
-            )
+            entries = folder_entries(folder)
+            while rows := list(itertools.islice(entries, LISTING_SLICE)):
+                yield pd.DataFrame([(folder, *row[:3]) for row in rows], columns=["dir", "file", "is_dir", "length"])
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
