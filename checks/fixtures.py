@@ -126,6 +126,14 @@ FIXTURES: dict[str, str] = {
         join {f_docs_urls} b on b.page_id = (u.page_id * 2 + 2) % (select count(*) from {pages})
         join {f_docs_urls} c on c.page_id = u.page_id % 7
         join {f_docs_urls} d on d.page_id = (u.page_id * 5 + 3) % (select count(*) from {pages})""",
+    # pages with markup that patterns misread: marks in attributes, text elements, open ends
+    "f_odd_pages": """
+        select page_id, url,
+               '<a title="1 > 0" href="/p' || page_id || '?a=1&amp;b=2&copy=3&#47;&eacute;">x</a>'
+                 || '<textarea><a href="/in-text"></textarea><noscript><a href = /plain/ ></noscript>'
+                 || '<script><!-- <script></script><a href="/in-script"> --></script><a data-href="/no" HREF=''/q>r''>'
+                 || html || '<![CDATA[<a href="/in-data">]]><a href="/last"><!-- open <a href="/lost">' as html
+        from {pages}""",
     # chat text with and without commands
     "f_messages": """
         select c.conv_id, c.conv_id || '-' || c.turn as msg_id,

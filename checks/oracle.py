@@ -301,6 +301,12 @@ _TEXTS: dict[str, str] = {
         with h as (select page_id, url, unnest(regexp_extract_all(
                      regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?i)href=["'']([^"'']*)["'']', 1)) as href from {{f_docs}})
         select distinct page_id, case when href like 'https://%' then href else {_ROOTED} end as abs_url from h""",
+    "scan_links": f"select distinct page_id, {_ROOTED} as abs_url from {_HREF} h",
+    "scan_odd_links": f"""
+        select distinct page_id, {_ROOTED} as abs_url
+        from (select * from {_HREF}
+              union all
+              select page_id, url, unnest(['/p' || page_id || '?a=1&b=2&copy=3/é', '/plain/', '/q>r', '/last']) from {{pages}}) h""",
     "crawl_sites": "with " + _walk("3") + " select seed, node, min(depth) as depth from walk group by 1, 2",
     "crawl_unlimited": "with " + _walk("4") + " select seed, node, min(depth) as depth from walk group by 1, 2",
     "page_cap": "with " + _walk("3") + """,

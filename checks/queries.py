@@ -380,6 +380,16 @@ def extract_links_all_tags(spark, sf):
     return links.extract_links(fixture(spark, sf, "f_docs")).select("page_id", "abs_url")
 
 
+@query
+def scan_links(spark, sf):
+    return links.scanned_links(fixture(spark, sf, "pages")).select("page_id", "abs_url")
+
+
+@query
+def scan_odd_links(spark, sf):
+    return links.scanned_links(fixture(spark, sf, "f_odd_pages")).select("page_id", "abs_url")
+
+
 def _site_seeds(spark, sf) -> DataFrame:
     """Every page is the start of a crawl of its site."""
     return fixture(spark, sf, "f_sites").select(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanwork.functions.html import page_links
 from gleanwork.functions.urls import base_parts, resolve_href, resolve_with, strip_fragment, url_host
 
 # Comments, scripts and styles are matched first and so swallowed; only the last
@@ -64,9 +66,40 @@ def extract_links(pages: DataFrame, keep_fragment: bool = True) -> DataFrame:
     return found.select("page_id", "url", F.explode(web).alias("abs_url"))
 
 
-def link_edges(pages: DataFrame) -> DataFrame:
-    """Edges ``src, dst, host`` between addresses without fragments, for ``crawl``."""
-    links = extract_links(pages, keep_fragment=False)
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [page_links(page) for page in batch.column(2).to_pylist()]
+        columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "_given", "_hrefs"])
+
+
+def scanned_links(pages: DataFrame, keep_fragment: bool = True) -> DataFrame:
+    """Like ``extract_links``, with a scanner in place of patterns.
+
+    The scanner follows the rules for HTML where patterns give up: ``>`` inside attribute
+    values, open quotes and comments, elements whose content is text, all character
+    references. Pages go to Python in Arrow batches and only their links come back; links
+    are resolved as before. Links in ``noscript`` and ``template`` count. A page without
+    text or address has no links.
+    """
+    kind = pages.schema["page_id"].dataType.simpleString()
+    given = pages.filter(F.col("url").isNotNull() & F.col("html").isNotNull()).select("page_id", "url", "html")
+    found = given.mapInArrow(_scan, f"page_id {kind}, url string, _given string, _hrefs array<string>")
+    address = F.when(F.col("_given").isNull(), F.col("url")).otherwise(resolve_href("_given", "url"))
+    based = found.select("page_id", "url", _once(address, base_parts).alias("_base"), "_hrefs")
+    resolved = F.transform("_hrefs", lambda h: resolve_with(h, F.col("_base")))
+    if not keep_fragment:
+        resolved = F.transform(resolved, strip_fragment)
+    web = F.filter(F.array_distinct(resolved), lambda u: u.rlike("^(?i)https?://[^/?#]"))
+    return based.select("page_id", "url", F.explode(web).alias("abs_url"))
+
+
+def link_edges(pages: DataFrame, scanned: bool = False) -> DataFrame:
+    """Edges ``src, dst, host`` between addresses without fragments, for ``crawl``.
+
+    ``scanned`` takes the links from the scanner, which costs Python time, else from patterns.
+    """
+    links = (scanned_links if scanned else extract_links)(pages, keep_fragment=False)
     return links.select(
         strip_fragment("url").alias("src"), F.col("abs_url").alias("dst"), url_host("abs_url").alias("host")
     )
