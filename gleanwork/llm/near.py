@@ -9,10 +9,11 @@ with one member and branch again. Every link is confirmed on full sets.
 
 Only sets that no known link joins are compared, and in two steps: first each set with the
 most promising ones, which joins most of a large group, then all that are still apart. The
-comparison runs in blocks of a node's sets, so no join lists the pairs of a node.
+comparison runs in blocks of a node's sets and returns links alone, so no table ever holds
+the pairs of a node.
 
-With ``TREES`` times ``ROOT_BRANCHES`` first children and two branches below, a pair at
-similarity 0.75 is missed with probability below 2e-6.
+A pair at similarity 0.75 shares none of the ``TREES`` times ``ROOT_BRANCHES`` first children
+with probability 6e-8, and is passed over by the short signature with one below 2e-6.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ ROUNDS = 8
 # round, where every set is a group of its own, and later.
 FEW_FIRST, FEW = 8, 512
 BLOCK = 1024
-# Of 64 functions, similar sets agree on 48 on average; 34 lies four deviations below.
-AGREE = 34
+# Of 64 functions, sets at 0.75 agree on 48 on average; fewer than 31 have probability below 2e-6.
+AGREE = 31
 
 
 def _set_rows(batches: Iterator, keep_set: bool) -> Iterator:
@@ -90,14 +91,15 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(axis=1).astype("int32"))
 
 
+def _is_similar(p: np.ndarray, q: np.ndarray) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= SIMILAR * (len(p) + len(q) - both)
+
+
 @F.pandas_udf(T.BooleanType())
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    def close(x: bytes, y: bytes) -> bool:
-        p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        return 100 * both >= SIMILAR * (len(p) + len(q) - both)
-
-    return pd.Series([close(x, y) for x, y in zip(a, b)], dtype=bool)
+    sets = ((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(a, b))
+    return pd.Series([_is_similar(p, q) for p, q in sets], dtype=bool)
 
 
 def _value(function: Column) -> Column:
@@ -165,49 +167,117 @@ def _few_pairs(small: DataFrame) -> DataFrame:
     return small.select("node", F.col("v").alias("a")).join(theirs, "node").filter("a < b").select("a", "b")
 
 
-def _block_pairs(small: DataFrame, reps: DataFrame, promising: bool) -> DataFrame:
-    """Likely pairs of a set outside a node's largest group with one of another group.
+def _grid(rows: DataFrame) -> DataFrame:
+    """Members of nodes, cut into a grid of blocks: each meets the sets outside the node's largest group.
 
-    A node is cut into a grid of blocks and each is compared in one task. ``promising``
-    gives, for each set and block, the likeliest partner in the largest group and the
-    likeliest elsewhere.
+    ``out`` rows are those outside, placed in a row of the grid; the others fill its columns.
     """
-    rows = small.join(reps.select("v", "n", "brief"), "v")
     cuts = {"o": F.ceil(F.col("outside") / BLOCK).cast("int"), "m": F.ceil(F.col("size") / BLOCK).cast("int")}
     place = lambda side: F.pmod(F.xxhash64("v"), cuts[side]).cast("int").alias(side)
     every = lambda side: F.explode(F.sequence(F.lit(0), cuts[side] - 1)).alias(side)
-    kept = ["node", "v", "c", "n", "brief", (F.col("c") == F.col("top")).alias("in_top")]
+    kept = [c for c in rows.columns if c not in ("size", "outside", "top", "pivot")] + [(F.col("c") == F.col("top")).alias("in_top")]
     members = rows.select(*kept, F.lit(False).alias("out"), place("m"), every("o"))
     outside = rows.filter("c <> top").select(*kept, F.lit(True).alias("out"), every("m"), place("o"))
-
-    def compare(block: pa.Table) -> pa.Table:
-        out = block["out"].to_numpy()
-        ids = block["v"].combine_chunks()
-        n = block["n"].to_numpy()
-        group = pd.factorize(block["c"].to_pandas())[0]
-        brief = np.frombuffer(b"".join(block["brief"].to_pylist()), dtype="u1").reshape(len(out), -1)
-        in_top = block["in_top"].to_numpy()
-        left, right = np.flatnonzero(out), np.flatnonzero(~out)
-        xs, ys = [], []
-        for x in left:
-            sizes = 100 * np.minimum(n[x], n[right]) >= SIMILAR * np.maximum(n[x], n[right])
-            near = right[sizes & (group[right] != group[x])]
-            agree = (brief[near] == brief[x]).sum(axis=1)
-            near, agree = near[agree >= AGREE], agree[agree >= AGREE]
-            if promising:
-                sides = [np.flatnonzero(in_top[near]), np.flatnonzero(~in_top[near])]
-                near = near[[side[agree[side].argmax()] for side in sides if len(side)]] if len(near) else near
-            xs.append(np.full(len(near), x))
-            ys.append(near)
-        empty = np.empty(0, dtype=np.int64)
-        ends = [ids.take(pa.array(np.concatenate([empty, *side]).astype(np.int64))) for side in (xs, ys)]
-        return pa.table(ends, ["x", "y"])
+    return members.unionByName(outside)
+
+
+class _Block:
+    """The sets of one block, and for each outside one the others that agree with it enough."""
+
+    def __init__(self, rows: pa.Table):
+        self._out = rows["out"].to_numpy()
+        self._n = rows["n"].to_numpy()
+        self._brief = np.frombuffer(b"".join(rows["brief"].to_pylist()), dtype="u1").reshape(len(self._out), -1)
+        self.ids = rows["v"].combine_chunks()
+        self.group = pd.factorize(rows["c"].to_pandas())[0]
+        self.in_top = rows["in_top"].to_numpy()
+
+    def likely(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each outside set with its likely partners of other groups and how far they agree."""
+        right = np.flatnonzero(~self._out)
+        for x in np.flatnonzero(self._out):
+            sizes = 100 * np.minimum(self._n[x], self._n[right]) >= SIMILAR * np.maximum(self._n[x], self._n[right])
+            near = right[sizes & (self.group[right] != self.group[x])]
+            agree = (self._brief[near] == self._brief[x]).sum(axis=1)
+            yield x, near[agree >= AGREE], agree[agree >= AGREE]
+
+    def named(self, places: list) -> pa.Array:
+        return self.ids.take(pa.array(np.concatenate([np.empty(0, dtype=np.int64), *places]).astype(np.int64)))
+
+
+def _promising_pairs(small: DataFrame, reps: DataFrame) -> DataFrame:
+    """For each set outside a node's largest group and each block, the likeliest partner in
+    the largest group and the likeliest elsewhere."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        block, xs, ys = _Block(rows), [], []
+        for x, near, agree in block.likely():
+            sides = [np.flatnonzero(block.in_top[near]), np.flatnonzero(~block.in_top[near])]
+            best = [near[side[agree[side].argmax()]] for side in sides if len(side)]
+            xs.append(np.full(len(best), x))
+            ys.append(np.array(best, dtype=np.int64))
+        return pa.table([block.named(xs), block.named(ys)], ["x", "y"])
 
     kind = reps.schema["v"].dataType.simpleString()
-    pairs = members.unionByName(outside).groupBy("node", "o", "m").applyInArrow(compare, f"x {kind}, y {kind}")
+    pairs = _grid(small.join(reps.select("v", "n", "brief"), "v")).groupBy("node", "o", "m").applyInArrow(compare, f"x {kind}, y {kind}")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _block_links(docs: DataFrame, apart: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """Links between groups that meet in a node, enough of them to join all groups that are linked.
+
+    Pairs are never listed: a first look marks the sets that have a likely partner at all,
+    a second one has the full sets of these in the blocks and confirms there. A block stops
+    looking between two groups once it has joined them. A pair that meets in several nodes
+    is confirmed in the one with the smallest name. None if no set has a partner.
+    """
+    kind = reps.schema["v"].dataType.simpleString()
+    rows = apart.join(reps.select("v", "n", "brief"), "v")
+
+    def mark(rows: pa.Table) -> pa.Table:
+        block = _Block(rows)
+        marked = np.zeros(rows.num_rows, dtype=bool)
+        for x, near, _ in block.likely():
+            marked[near] = True
+            marked[x] |= len(near) > 0
+        return pa.table([block.named([np.flatnonzero(marked)]).unique()], ["v"])
+
+    marked = _grid(rows).groupBy("node", "o", "m").applyInArrow(mark, f"v {kind}").distinct()
+    marked = staged(marked, "marked")
+    if not staged_metrics(marked)["rows"]:
+        return None
+    full = _sets(docs.select("doc_id", "text").join(marked.withColumnRenamed("v", "doc_id"), "doc_id", "left_semi"), True)
+    # an id with several texts has several sets; its vertex is the set of its own digest
+    full = full.join(reps.select("digest", F.col("v").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    places = apart.join(marked, "v", "left_semi").groupBy("v").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    known = staged(full.select(F.col("doc_id").alias("v"), F.col("data").alias("whole")).join(places, "v"), "marked_sets")
+
+    def confirm(rows: pa.Table) -> pa.Table:
+        block, xs, ys = _Block(rows), [], []
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["whole"].to_pylist()]
+        here = rows["node"][0].as_py()
+        lists = [np.array([n for n in nodes if n < here], dtype=np.int64) for nodes in rows["nodes"].to_pylist()]
+        root = list(range(int(block.group.max()) + 1))
+
+        def find(g: int) -> int:
+            while root[g] != g:
+                root[g] = root[root[g]]
+                g = root[g]
+            return g
+
+        for x, near, agree in block.likely():
+            for y in near[np.argsort(-agree, kind="stable")]:
+                a, b = find(block.group[x]), find(block.group[y])
+                if a != b and not len(np.intersect1d(lists[x], lists[y], assume_unique=True)) and _is_similar(sets[x], sets[y]):
+                    root[max(a, b)] = min(a, b)
+                    xs.append([x])
+                    ys.append([y])
+        return pa.table([block.named(xs), block.named(ys)], ["a", "b"])
+
+    found = _grid(rows.join(known, "v")).groupBy("node", "o", "m").applyInArrow(confirm, f"a {kind}, b {kind}")
+    return staged(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "block_links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
@@ -234,20 +304,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         small, large = rows.filter(F.col("outside") <= few), rows.filter(F.col("outside") > few)
         n_large = seen["large"] or 0
 
-        def link(pairs):
+        def take_in(found):
             nonlocal links, labels
-            found = _confirmed(docs, reps, pairs.distinct(), before)
-            links = links.union(found)
-            if labels is None or staged_metrics(found)["rows"]:
+            if found is not None:
+                links = links.union(found)
+            if labels is None or found is not None and staged_metrics(found)["rows"]:
                 labels = components(links)
 
+        def link(pairs):
+            take_in(_confirmed(docs, reps, pairs.distinct(), before))
+
         if number == 0:
             link(_few_pairs(small).union(_star(large)))
         else:
-            link(_block_pairs(small, reps, True).union(_star(large)))
+            link(_promising_pairs(small, reps).union(_star(large)))
             if seen["rows"] > n_large:
                 apart, _ = _open(small.select("node", "v"), labels, few, False)
-                link(_block_pairs(apart, reps, False))
+                take_in(_block_links(docs, apart, reps))
         if not n_large:
             break
         below = large.join(reps.select("v", "data"), "v")
@@ -264,14 +337,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id.
 
-    Columns stay as given. Of rows that share an id one stays: the one whose text is least.
-    Rows without an id all stay.
+    Columns stay as given. Where rows share an id or have none, every row is a document of
+    its own: of a group the smallest id stays, rows without id after all others, and of
+    several rows with that id one. Texts without words are no one's duplicates and all stay.
     """
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    df = packed(docs).withColumn("doc_id", F.col("doc.doc_id"))
-    df = df.join(staged(gone, "gone"), "doc_id", "left_anti")
-    twice = staged(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
-    if staged_metrics(twice)["rows"]:
-        several = df.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("doc", F.struct("doc.text", F.to_json("doc"))).alias("doc"))
-        df = df.join(twice, "doc_id", "left_anti").select("doc").union(several.select("doc"))
-    return unpacked(df, docs.columns)
+    clashes = staged(docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select("doc_id"), "clashes")
+    if not staged_metrics(clashes)["rows"]:
+        gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+        df = packed(docs).withColumn("doc_id", F.col("doc.doc_id"))
+        return unpacked(df.join(staged(gone, "gone"), "doc_id", "left_anti"), docs.columns)
+    rows = staged(packed(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "doc.text"))
+    order = F.struct(F.col("doc.doc_id").isNull().alias("without"), F.col("doc.doc_id").alias("id"), "row")
+    groups = rows.join(found.select(F.col("doc_id").alias("row"), "component_id"), "row").groupBy("component_id")
+    first = groups.agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    return unpacked(rows.join(staged(first, "first"), "row", "left_semi"), docs.columns)
