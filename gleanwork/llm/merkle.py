@@ -187,8 +187,9 @@ def manifest(docs: DataFrame, changed: Column | None = None) -> DataFrame:
     everything = subroots.select(F.lit("").alias("tree"), F.col("tree").alias("doc_id"), "digest")
     sources = staged(numbered_leaves(staged(everything, "subroots")), "sources", last=F.max("place"))
     source_paths, root = climbed(sources)
-    ends = sources.join(source_paths.select("place", F.col("path").alias("rest")), "place").crossJoin(F.broadcast(root.select(F.col("digest").alias("root"))))
-    ends = ends.select(F.col("doc_id").alias("tree"), F.col("digest").alias("subroot"), "root", "rest")
+    top = root.first()
+    ends = sources.join(source_paths.select("place", F.col("path").alias("rest")), "place")
+    ends = ends.select(F.col("doc_id").alias("tree"), F.col("digest").alias("subroot"), F.lit(top and top["digest"]).alias("root"), "rest")
     paths = paths.join(ends, "tree").select("tree", F.col("place").alias("block"), F.concat("path", "rest").alias("path"), "subroot", "root")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
