@@ -275,6 +275,9 @@ _TEXTS: dict[str, str] = {
         union all select page_id, 'empty', bare from q""",
     "name_search": """
         select distinct q.q, k.rank from {f_requests} q join {f_catalog} k on contains(lower(k.full_name), lower(q.q))""",
+    "name_index": """
+        with terms as (select q from {f_requests} union select substr(full_name, 4, 2) from {f_catalog})
+        select distinct q.q, k.rank from terms q join {f_catalog} k on contains(lower(k.full_name), lower(q.q))""",
     "find_repo": "with " + _FOUND_REQUESTS + " select req_id, q, rank, full_name, html_url, exact from found",
     "first_by_rank": """
         select req_id, rank, full_name, html_url from

@@ -14,6 +14,7 @@ from checks.fixtures import fixture
 from gleanwork.functions import requests as R
 from gleanwork.functions import urls as U
 from gleanwork.operators import catalog, crawl, files, links, pages, resume
+from gleanwork.operators import name_index as name_lookup
 from gleanwork.operators.settings import resolve_settings
 from gleanwork.operators.skew import first_per_group, last_per_group
 from gleanwork.plans.get_code import get_code
@@ -305,6 +306,23 @@ def name_search(spark, sf):
     return catalog.name_search(terms, fixture(spark, sf, "f_catalog"))
 
 
+@query
+def name_index(spark, sf):
+    """Search in a stored index after names have come, gone and changed, and after it was compacted."""
+    names = fixture(spark, sf, "f_catalog").select(F.col("rank").alias("id"), F.col("full_name").alias("name"))
+    other = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+    index = name_lookup.NameIndex(spark, fresh_path(spark, "index"))
+    wrong = names.filter(other).select("id", F.concat(F.lit("old-"), "name").alias("name"))
+    index.update(added=names.filter(~other).unionByName(wrong))
+    index.update(added=names, removed=wrong)
+    index.compact()
+    # comes and goes again
+    index.update(added=wrong)
+    index.update(removed=wrong)
+    terms = fixture(spark, sf, "f_requests").select("q").unionByName(names.select(F.substring("name", 4, 2).alias("q")))
+    return index.lookup(terms).withColumnRenamed("id", "rank")
+
+
 @query
 def find_repo(spark, sf):
     return catalog.find_repo(fixture(spark, sf, "f_requests"), fixture(spark, sf, "f_catalog"))

@@ -7,8 +7,7 @@ through all links until nothing changes. Depths only get smaller, so a page that
 page limit in an earlier run stays behind the pages that were before it, and the rows after
 several runs are those of one crawl over everything.
 
-A run counts once its last table, the commit, is written. A run that broke off is written
-again under the same number.
+A run that broke off is written again under the same number.
 """
 
 from __future__ import annotations
@@ -21,9 +20,8 @@ from pyspark.sql import functions as F
 from gleanwork.operators.crawl import allowed_edges, counted_starts, edge_limit, follow, may_go_deeper, own_cap, own_limits
 from gleanwork.operators.skew import ROWS_PER_TASK, key_load, split_join
 from gleanwork.session import stage, staged_metrics
+from gleanwork.sinks.runs import Runs, State
 
-_TABLES = ["links", "pages", "seeds"]
-_COMMIT = "number int, links boolean, pages boolean, seeds boolean"
 _LINKS = ["src", "dst", "host"]
 _START = ["seed", "domain", "node", "depth", "_deep", "_most"]
 
@@ -36,48 +34,28 @@ class CrawlStore:
     """
 
     def __init__(self, spark: SparkSession, path: str, pages_needed: bool = False, include_seed: bool = True):
-        self._spark, self._path = spark, path.rstrip("/")
+        self._spark, self._runs = spark, Runs(spark, path, ["links", "pages", "seeds"])
         self._pages_needed, self._include_seed = pages_needed, include_seed
-        # run 0 has nothing; it is there so that later reads find a table
-        self._commit_rows(0, set()).write.mode("ignore").parquet(f"{self._path}/commits/run=0")
-
-    def _commit_rows(self, run: int, tables: set[str]) -> DataFrame:
-        return self._spark.createDataFrame([(run, *(name in tables for name in _TABLES))], _COMMIT)
-
-    def _state(self) -> tuple[int, set[str]]:
-        """Number of the last run that was committed, and the tables that there are."""
-        commits = self._spark.read.schema(_COMMIT).parquet(f"{self._path}/commits")
-        row = commits.agg(F.max("number").alias("number"), *[F.bool_or(name).alias(name) for name in _TABLES]).first()
-        return row["number"], {name for name in _TABLES if row[name]}
-
-    def _stored(self, name: str, up_to: int) -> DataFrame:
-        """Rows of a table that runs up to a number have added."""
-        return self._spark.read.parquet(f"{self._path}/{name}").filter(F.col("run") <= up_to).drop("run")
-
-    def _put(self, df: DataFrame, name: str, run: int) -> DataFrame:
-        path = f"{self._path}/{name}/run={run}"
-        df.write.mode("overwrite").parquet(path)
-        return self._spark.read.schema(df.schema).parquet(path)
 
     def last_run(self) -> int:
         """Number of the last run that was committed, 0 before the first."""
-        return self._state()[0]
+        return self._runs.state().number
 
     def found(self) -> DataFrame | None:
         """``seed, node, depth`` after the last run, None before the first."""
         run = self.last_run()
-        return None if not run else self._spark.read.parquet(f"{self._path}/seen/run={run}").select("seed", "node", "depth")
+        return None if not run else self._runs.of_run("seen", run).select("seed", "node", "depth")
 
-    def _added(self, new: DataFrame | None, name: str, on: list[str], run: int, tables: set[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    def _added(self, new: DataFrame | None, name: str, on: list[str], last: State, now: State) -> tuple[DataFrame | None, DataFrame | None]:
         """Rows of ``new`` that the store lacks, now in it, and all rows; of equal keys any one counts."""
-        before = self._stored(name, run - 1) if name in tables else None
+        before = self._runs.stored(name, last) if name in last.tables else None
         if new is None:
             return None, before
         fresh = new.dropDuplicates(on)
         if before is not None:
             fresh = fresh.join(before.select(*on), on, "left_anti").select(new.columns)
-        fresh = self._put(fresh, name, run)
-        tables.add(name)
+        fresh = self._runs.put(fresh, name, now.number)
+        now.tables.add(name)
         return fresh, fresh if before is None else before.select(new.columns).unionByName(fresh)
 
     def _live(self, links: DataFrame | None, pages: DataFrame | None) -> DataFrame | None:
@@ -102,19 +80,20 @@ class CrawlStore:
         Limits are those of ``crawl`` and hold for the seeds given here. Links, pages and
         seeds that are known already change nothing.
         """
-        last, tables = self._state()
-        run, earlier = last + 1, set(tables)
-        new_links, all_links = self._added(None if links is None else links.select(*_LINKS), "links", ["src", "dst"], run, tables)
-        new_pages, all_pages = self._added(None if pages is None else pages.select("node"), "pages", ["node"], run, tables)
+        last = self._runs.state()
+        now = State(last.number + 1, last.base, set(last.tables))
+        run = now.number
+        new_links, all_links = self._added(None if links is None else links.select(*_LINKS), "links", ["src", "dst"], last, now)
+        new_pages, all_pages = self._added(None if pages is None else pages.select("node"), "pages", ["node"], last, now)
         if seeds is not None:
             seeds = own_limits(seeds, depth, max_pages)
-        new_start, all_start = self._added(seeds, "seeds", ["seed"], run, tables)
+        new_start, all_start = self._added(seeds, "seeds", ["seed"], last, now)
         if all_start is None:
             raise ValueError("the first run needs seeds")
         start = counted_starts(all_start)
         most, highest = edge_limit(start), staged_metrics(start)["most"]
         schema = start.schema
-        before = None if run == 1 else self._spark.read.parquet(f"{self._path}/seen/run={run - 1}").select(*_START)
+        before = None if run == 1 else self._runs.of_run("seen", run - 1).select(*_START)
 
         def edges(rows: DataFrame | None, label: str) -> DataFrame | None:
             return None if rows is None else stage(allowed_edges(rows, start, most, rows_per_task), label)
@@ -123,12 +102,12 @@ class CrawlStore:
         # new ways: from what was seen over new links, from new seeds over all links
         fresh = [self._live(new_links, all_pages)]
         if self._pages_needed and new_pages is not None and run > 1:
-            fresh.append(self._live(self._stored("links", last), new_pages) if "links" in earlier else None)
+            fresh.append(self._live(self._runs.stored("links", last), new_pages) if "links" in last.tables else None)
         fresh = [x for x in fresh if x is not None]
         ways = []
         if fresh and run > 1:
             # a known start, and every seen node above its crawl's limit of depth
-            old = self._stored("seeds", last).select(*_START).unionByName(before).distinct()
+            old = self._runs.stored("seeds", last).select(*_START).unionByName(before).distinct()
             ways.append(follow(old.filter(may_go_deeper(F.col("depth"))), edges(reduce(DataFrame.unionByName, fresh), "new_edges"), rows_per_task))
         if new_start is not None and everything is not None:
             ways.append(follow(new_start.select(*_START).filter(may_go_deeper(0)), everything, rows_per_task))
@@ -141,8 +120,8 @@ class CrawlStore:
         while n_open:
             frontier = seen.filter("_new").filter(may_go_deeper(F.col("depth"))).select(*_START)
             seen, n_open = self._merged(seen.select(*_START), follow(frontier, everything, rows_per_task, n_open, hubs), highest)
-        self._put(seen.select(*_START), "seen", run)
-        self._put(self._commit_rows(run, tables), "commits", run)
+        self._runs.put(seen.select(*_START), "seen", run)
+        self._runs.commit(now)
         return self.found()
 
     def _merged(self, seen: DataFrame, changes: DataFrame | None, highest: int | None) -> tuple[DataFrame, int]:
