@@ -365,6 +365,21 @@ _TEXTS: dict[str, str] = {
         select host, url as line from u
         union all
         select host, first(url order by page_id) from u group by 1""",
+    "merge_manifest": f"""
+        with u as (select distinct url, {_host('url')} as host, min(page_id) as page_id from {{f_docs_urls}} group by all),
+        l as (select host, true as is_page, url as line from u
+              union select host, false, first(url order by page_id) from u group by 1)
+        select host, row_number() over (partition by host order by is_page, line) as line_no, line from l""",
+    "upsert_repeated": """
+        select page_id, case when site not like '%.org' then site end as host, url from {f_sites}""",
+    "skip_existing_repeated": """
+        with n as (select page_id, case when site not like '%.org' then site end as site, url from {f_sites}),
+        known as (select distinct site from n where url in (select url from {f_existing}))
+        select min(page_id) as page_id, site, min_by(url, page_id) as url from n
+        where not exists (select 1 from known k where k.site is not distinct from n.site) group by site""",
+    "last_wins_repeated": """
+        select max(page_id) as page_id, case when site not like '%.net' then site end as site, len(string_split(url, '/')) as deep
+        from {f_sites} group by 2, 3""",
     "write_if_absent": """
         select p.page_id, p.url, case when e.url is null then 'new' else 'earlier' end as origin
         from {pages} p left join {f_existing} e on e.url = p.url""",

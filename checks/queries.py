@@ -385,6 +385,14 @@ def skip_existing(spark, sf):
     return files.skip_existing(new, fixture(spark, sf, "f_existing"), ["url"], "page_id")
 
 
+@query
+def skip_existing_repeated(spark, sf):
+    """Repeated rows, keys that tie, and rows without a key."""
+    new = fixture(spark, sf, "f_sites").select("page_id", F.when(~F.col("site").endswith(".org"), F.col("site")).alias("site"), "url")
+    known = fixture(spark, sf, "f_existing").select(F.col("url")).join(new.select("url", "site"), "url").select("site").distinct()
+    return files.skip_existing(new.unionByName(new), known, ["site"], "page_id")
+
+
 # --- links, crawl, pages ----------------------------------------------------------
 
 
@@ -509,6 +517,13 @@ def last_wins(spark, sf):
     return last_per_group(keyed, ["host", "key"], "page_id")
 
 
+@query
+def last_wins_repeated(spark, sf):
+    """The last page of each site and depth of address, with equal rows and rows without a site."""
+    rows = fixture(spark, sf, "f_sites").select("page_id", F.when(~F.col("site").endswith(".net"), F.col("site")).alias("site"), F.size(F.split("url", "/")).alias("deep"))
+    return last_per_group(rows.unionByName(rows), ["site", "deep"], "page_id")
+
+
 @query
 def fetch_found(spark, sf):
     found = crawl.crawl(fixture(spark, sf, "f_links"), _site_seeds(spark, sf), depth=2, max_pages=20)
@@ -551,6 +566,32 @@ def write_manifest(spark, sf):
     return spark.read.text(path).select("host", F.col("value").alias("line"))
 
 
+@query
+def merge_manifest(spark, sf):
+    """Manifests in three runs: some pages, pages of other hosts, then all pages again."""
+    path = fresh_path(spark, "manifests")
+    found = fixture(spark, sf, "f_docs_urls").withColumn("host", U.url_netloc("url"))
+    seeds = first_per_group(found, ["host"], "page_id")
+    part = F.pmod(F.xxhash64("url"), F.lit(3))
+    manifest.merge_manifest(found.filter(part == 0), seeds.filter(F.col("host").startswith("blog")), path, parts=16)
+    manifest.merge_manifest(found.filter(part == 1).filter(~F.col("host").startswith("blog")), seeds, path, parts=8)
+    manifest.merge_manifest(found, seeds, path)
+    return tables.read_table(spark, path).select("host", F.col("line_no").cast("bigint"), "line")
+
+
+@query
+def upsert_repeated(spark, sf):
+    """The same pages stored with other numbers of folders, with repeated rows and rows without a key."""
+    path = fresh_path(spark, "pages")
+    rows = fixture(spark, sf, "f_sites").select("page_id", "url", F.when(F.col("host") != "", F.col("site")).alias("host"))
+    rows = rows.withColumn("host", F.when(~F.col("host").endswith(".org"), F.col("host")))
+    once = last_per_group(rows.unionByName(rows), ["host", "url"], "page_id")
+    tables.upsert(once, path, "host", ["host", "url"], parts=16)
+    tables.upsert(once, path, "host", ["host", "url"], parts=64)
+    tables.upsert(once.filter("page_id % 2 = 0"), path, "host", ["host", "url"])
+    return tables.read_table(spark, path).select("page_id", "host", "url")
+
+
 @query
 def write_if_absent(spark, sf):
     """Pages of an earlier run stay as they were; the rest is added, once."""

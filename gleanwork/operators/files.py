@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions.urls import raw_file_url, relative_dir
 from gleanwork.model import BRANCH_CANDIDATES
-from gleanwork.operators.skew import ROWS_PER_TASK, key_load, split_join
+from gleanwork.operators.skew import ROWS_PER_TASK, first_per_group, key_load, split_join, without_known
 
 
 def first_branch(branches: DataFrame) -> DataFrame:
@@ -66,8 +66,9 @@ def attempt_count(ingested: DataFrame, by: list[str]) -> DataFrame:
 
 
 def skip_existing(new: DataFrame, existing: DataFrame | None, on: list[str], order: str) -> DataFrame:
-    """New rows whose key is not there yet; of equal new keys the first one stays."""
-    fresh = new.groupBy(*on).agg(F.min(order).alias(order))
-    if existing is not None:
-        fresh = fresh.join(existing.select(*on).distinct(), on, "left_anti")
-    return new.join(fresh, [*on, order], "left_semi")
+    """New rows whose key is not there yet; of equal new keys the first one stays, of equal rows one.
+
+    Rows without a key count as one key.
+    """
+    fresh = first_per_group(new, on, order)
+    return fresh if existing is None else without_known(fresh, existing, on)

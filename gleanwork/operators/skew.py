@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,20 +177,33 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], out: str) ->
     )
 
 
-def first_per_group(df: DataFrame, group: list[str], order: str) -> DataFrame:
-    """The first row of each group by an integer order column that is unique in it.
+def _one_per_group(df: DataFrame, group: list[str], order: Column) -> DataFrame:
+    """The row of each group that comes first; of equal orders the smaller row digest, of equal rows one.
 
-    The minimum is combined before the shuffle, so a hot group costs no more than
-    one row per task; the wide columns join back on (group, order).
+    Spark cuts each task's rows to one per group before the shuffle, so a hot group costs no
+    more than a row per task. Rows without a group are a group.
     """
-    firsts = df.groupBy(*group).agg(F.min(order).alias(order))
-    return df.join(firsts, [*group, order], "left_semi")
+    digest = F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind])
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(order, digest))
+    return df.withColumn("_place", place).filter("_place = 1").drop("_place")
+
+
+def first_per_group(df: DataFrame, group: list[str], order: str) -> DataFrame:
+    """The first row of each group by an order column; rows without an order come last."""
+    return _one_per_group(df, group, F.col(order).asc_nulls_last())
 
 
 def last_per_group(df: DataFrame, group: list[str], order: str) -> DataFrame:
     """The last row of each group, like ``first_per_group``."""
-    lasts = df.groupBy(*group).agg(F.max(order).alias(order))
-    return df.join(lasts, [*group, order], "left_semi")
+    return _one_per_group(df, group, F.col(order).desc_nulls_last())
+
+
+def without_known(new: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``new`` whose key is not in ``known``; a missing key is a value like any other."""
+    theirs = {name: f"_known_{i}" for i, name in enumerate(on)}
+    keys = known.select(*[F.col(name).alias(other) for name, other in theirs.items()])
+    same = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(other)) for name, other in theirs.items()])
+    return new.join(keys, same, "left_anti")
 
 
 def rebalanced(df: DataFrame, *cols: Column | str) -> DataFrame:
