@@ -158,6 +158,15 @@ _DOCS = (
               left join per_crawl n on n.seed = c.seed)"""
 )
 
+# the same with some addresses cut down to a path, and whether a request has settings of its own
+_ODD_DOCS = (
+    _DOCS.replace("r.arg as url", "_ARG as url").replace("split_part(r.arg, '#', 1)", "split_part(_ARG, '#', 1)")
+    .replace(_host("r.arg"), f"case when _ARG = r.arg then {_host('r.arg')} else '' end")
+    .replace("_ARG", "case when ends_with(r.msg_id, '3') then replace(r.arg, 'https://', '') else r.arg end")
+    .replace("as use_firefox\n              from routed", "as use_firefox, s.req_id is not null as has_row\n              from routed")
+    .replace("a.use_chrome, a.use_firefox,\n", "a.use_chrome, a.use_firefox, a.has_row,\n")
+)
+
 # the browser is picked by the first 32 bits of a digest of the run
 _BROWSER = """
     case when use_chrome and use_firefox
@@ -418,6 +427,23 @@ _TEXTS: dict[str, str] = {
     "get_docs_status": "with " + _DOCS + f"""
         select req_id, url, domain, seed, max_depth, max_pages, {_BROWSER}, n_found, n_saved,
                'All files have been ingested using ' || n_saved || ' threads, Miao!' as final_text from final""",
+    "get_docs_outcomes": "with " + _ODD_DOCS + """
+        select req_id, url, outcome, case outcome when 'crawled' then n_found else 0 end as n_found,
+               case outcome when 'crawled' then n_saved else 0 end as n_saved,
+               case outcome when 'crawled' then 'All files have been ingested using ' || n_saved || ' threads, Miao!'
+                            when 'no_browser' then 'please activate at least one browser engine' end as final_text
+        from (select *, case when split_part(req_id, '-', 1)::int % 4 = 0 and has_row then 'no_browser'
+                             when domain = '' then 'crawl_failed' else 'crawled' end as outcome from final)""",
+    "get_docs_saved": "with " + _DOCS + """
+        select distinct k.domain as host, sha256(p.node) as key, p.page_id, p.url, length(p.html) as n_chars
+        from kept k join d_pages p on p.node = k.node""",
+    "get_docs_manifest": "with " + _DOCS + """,
+        lines as (select domain as host, true as is_page, node as line from kept
+                  union select domain, false, min(node) from crawls group by 1)
+        select host, row_number() over (partition by host order by is_page, line) as line_no, line from lines""",
+    "get_docs_ingested": "with " + _DOCS + """
+        select distinct k.domain as full_name, sha256(p.node) || '.html' as file, 'local' as status, sha256(p.html) as digest
+        from kept k join d_pages p on p.node = k.node""",
     "get_docs_found": "with " + _DOCS + " select seed, node, depth from kept",
     "get_docs_pages": "with " + _DOCS + """
         select distinct k.domain as folder, sha256(p.node) as key, p.page_id, p.url, length(p.html) as n_chars

@@ -713,7 +713,47 @@ def _docs_run(spark, sf):
 
 @query
 def get_docs_status(spark, sf):
-    return _docs_run(spark, sf).status
+    return _docs_run(spark, sf).status.drop("outcome")
+
+
+def _odd_docs_run(spark, sf):
+    """Requests of which some have no browser and some no host in their address."""
+    requests = read_requests(fixture(spark, sf, "f_messages"), ["msg_id"]).withColumnRenamed("msg_id", "req_id")
+    arg = F.when(F.col("req_id").endswith("3"), F.regexp_replace("arg", "^https://", "")).otherwise(F.col("arg"))
+    some = F.regexp_extract("req_id", "^([0-9]+)-", 1).cast("int") % 4 == 0
+    settings = fixture(spark, sf, "f_run_settings")
+    for name in ("use_chrome", "use_firefox"):
+        settings = settings.withColumn(name, F.when(some, F.lit(False)).otherwise(F.col(name)))
+    return get_docs(requests.withColumn("arg", arg), settings, fixture(spark, sf, "f_docs"))
+
+
+@query
+def get_docs_outcomes(spark, sf):
+    return _odd_docs_run(spark, sf).status.select("req_id", "url", "outcome", "n_found", "n_saved", "final_text")
+
+
+@query
+def get_docs_saved(spark, sf):
+    """Pages that two equal runs have stored."""
+    out, run = fresh_path(spark, "docs"), _docs_run(spark, sf)
+    run.write(out)
+    run.write(out)
+    return tables.read_table(spark, f"{out}/pages").select("host", "key", "page_id", "url", F.length("html").alias("n_chars"))
+
+
+@query
+def get_docs_manifest(spark, sf):
+    out = fresh_path(spark, "docs")
+    _docs_run(spark, sf).write(out)
+    return tables.read_table(spark, f"{out}/manifests").select("host", F.col("line_no").cast("bigint"), "line")
+
+
+@query
+def get_docs_ingested(spark, sf):
+    out = fresh_path(spark, "docs")
+    _docs_run(spark, sf).write(out)
+    files = tables.read_table(spark, f"{out}/ingested")
+    return files.select("full_name", "file", "status", F.sha2("content", 256).alias("digest"))
 
 
 @query
