@@ -78,6 +78,33 @@ FIXTURES: dict[str, str] = {
     "f_default_branches": """
         select full_name, case when min(p_size) > 20 then 'main' else 'develop' end as branch
         from {f_catalog} group by full_name""",
+    # what the search answered per term and mode: an exact hit among others, a lone other one,
+    # many, none, a wrong shape, no payload
+    "f_answers": """
+        select full_name as q, 'raw' as mode,
+               case min(p_type) when 'PROMO' then '{"payload":{}}' when 'SMALL' then cast(null as string)
+                 else '{"payload":{"results":[{"hl_name":"' || replace(full_name, '/', '&#x2F;') || '-docs"},{"hl_name":"<em>'
+                      || replace(full_name, '/', '</em>&#x2F;') || '"}]}}' end as js
+        from {f_catalog} group by full_name
+        union all
+        select full_name, 'api',
+               case min(p_type) when 'LARGE' then '{"message":"rate limit"}'
+                 else '{"items":[{"full_name":"' || full_name || '","html_url":"https://github.com/' || full_name || '"}]}' end
+        from {f_catalog} group by full_name
+        union all
+        select substr(full_name, 6), 'raw', '{"payload":{"results":[{"hl_name":"' || min(full_name) || '"}]}}'
+        from {f_catalog} group by 1
+        union all
+        select substr(full_name, 6), 'api', '{"items":[{"full_name":"' || min(full_name) || '","html_url":"x"},{"full_name":"other/fork","html_url":"y"}]}'
+        from {f_catalog} group by 1
+        union all
+        select r_name, 'raw', '{"payload":{"results":[]}}' from (select distinct 'zzz' as r_name from {region}) z
+        union all
+        select r_name, 'api', '{"items":[]}' from (select distinct 'zzz' as r_name from {region}) z""",
+    # repositories by the state of their archive
+    "f_archive_state": """
+        select full_name, case when min(p_size) < 8 then 'missing' when min(p_size) < 14 then 'bad' else 'good' end as state
+        from {f_catalog} group by full_name""",
     # unpacked files: a document is a file of the repository with its number
     "f_files": """
         select d.doc_id, k.full_name,

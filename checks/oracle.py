@@ -124,6 +124,47 @@ _CODE = (
               from chosen c left join counts n on n.req_id = c.req_id)"""
 )
 
+_ANSWERED = (
+    _COMMANDS
+    + """,
+    asked as (select r.msg_id as req_id, r.arg as q,
+                     case when coalesce(trim(s.github_api_key), '') = '' then 'raw' else 'api' end as search_mode,
+                     case when coalesce(trim(s.github_api_key), '') <> '' and coalesce(s.use_api, false) then 'api' else 'zip' end as fetch_mode
+              from routed r left join {f_run_settings} s on s.req_id = r.msg_id where r.cmd = 'getcode'),
+    names as (select full_name, min(p_type) as kind from {f_catalog} group by 1),
+    tails as (select substr(full_name, 6) as q, min(full_name) as full_name from {f_catalog} group by 1),
+    solved as (select a.*, n.full_name is not null as known,
+                      case when n.full_name is not null and a.search_mode = 'raw' then case n.kind when 'PROMO' then 'bad_payload' when 'SMALL' then 'empty' else 'download' end
+                           when n.full_name is not null then case n.kind when 'LARGE' then 'bad_payload' else 'download' end
+                           when t.q is null then 'not_found' when a.search_mode = 'raw' then 'download' else 'list' end as shown,
+                      coalesce(n.full_name, t.full_name) as target
+               from asked a left join names n on n.full_name = a.q left join tails t on t.q = a.q),
+    zips as (select full_name, min(case branch when 'main' then 1 when 'master' then 2 end) as pos
+             from {f_branches} group by 1),
+    chosen as (select s.*, case when shown <> 'download' then null when s.fetch_mode = 'api' then d.branch
+                                else case z.pos when 1 then 'main' when 2 then 'master' end end as branch,
+                      case when s.fetch_mode = 'api' then 'good'
+                           when not exists (select 1 from {f_files} f where f.full_name = s.target) then 'missing' else e.state end as state
+               from solved s left join zips z on z.full_name = s.target left join {f_default_branches} d on d.full_name = s.target
+               left join {f_archive_state} e on e.full_name = s.target),
+    """
+    + _FILE.split("ingested as")[0].strip().rstrip(",")
+    + """,
+    per_file as (select distinct c.target as full_name, c.fetch_mode, c.branch, u.doc_id, u.root, u.relpath, u.file, u.content,
+                        case when supported then 'local'
+                             when replace(u.raw_url, '/main/', '/' || c.branch || '/') in (select raw_url from {f_raw_available}) then 'raw'
+                             else 'failed' end as status
+                 from chosen c join urled u on u.full_name = c.target where c.branch is not null and c.state = 'good'),
+    counts as (select full_name, fetch_mode, count(*) as attempted, count_if(status = 'local') as n_local,
+                      count_if(status = 'raw') as n_raw, count_if(status = 'failed') as n_failed from per_file group by 1, 2),
+    final as (select c.*, case when shown <> 'download' then shown when branch is null then 'download_failed'
+                               when state = 'missing' then 'missing_archive' when state = 'bad' then 'bad_archive' else 'download' end as status,
+                     case shown when 'download' then 1 when 'list' then 2 else 0 end as n_results,
+                     coalesce(n.attempted, 0) as attempted, coalesce(n.n_local, 0) as n_local, coalesce(n.n_raw, 0) as n_raw,
+                     coalesce(n.n_failed, 0) as n_failed
+              from chosen c left join counts n on n.full_name = c.target and n.fetch_mode = c.fetch_mode and c.shown = 'download')"""
+)
+
 _DOCS = (
     _COMMANDS
     + """,
@@ -424,6 +465,20 @@ _TEXTS: dict[str, str] = {
                    union all select req_id, 6, 'ingest_started', 0 from final where status = 'download'
                    union all select req_id, 7, 'ingest_finished', attempted from final where status = 'download')
         select req_id as run_id, row_number() over (partition by req_id order by pos) as step, event, n from events""",
+    "get_code_answered_status": "with " + _ANSWERED + """
+        select req_id, q, cast(n_results as bigint) as n_results, status, shown = 'download' and known as exact,
+               case when shown = 'download' then target end as full_name, search_mode, fetch_mode, branch,
+               attempted, n_local as "local", n_raw as raw, n_failed as failed,
+               case shown when 'download' then 'Start downloading repository: ' || target || ' https://github.com/' || target
+                          when 'list' then 'I found the following libraries on github:'
+                          else 'Sorry I was unable to find any repository with the key: ' || q end as message,
+               case when status = 'download' then 'All files have been ingested using ' || attempted || ' threads, Miao!' end as final_text
+        from final""",
+    "get_code_ingested": "with " + _ANSWERED + """
+        select distinct full_name, fetch_mode, branch,
+               root || '/' || split_part(full_name, '/', 2) || '-' || case fetch_mode when 'api' then branch else 'main' end
+                 || case relpath when '' then '' else '/' || relpath end || '/' || file as path, status, sha256(content) as digest
+        from per_file""",
     "get_docs_status": "with " + _DOCS + f"""
         select req_id, url, domain, seed, max_depth, max_pages, {_BROWSER}, n_found, n_saved,
                'All files have been ingested using ' || n_saved || ' threads, Miao!' as final_text from final""",

@@ -17,6 +17,7 @@ from gleanwork.operators import catalog, crawl, files, links, pages, resume
 from gleanwork.operators import name_index as name_lookup
 from gleanwork.operators.settings import resolve_settings
 from gleanwork.operators.skew import first_per_group, last_per_group
+from gleanwork.plans.answered import get_code_answered
 from gleanwork.plans.get_code import get_code
 from gleanwork.plans.get_docs import get_docs
 from gleanwork.session import fresh_path, stage
@@ -703,6 +704,71 @@ def get_code_log(spark, sf):
     return spark.read.parquet(path)
 
 
+def _zip_repository(key: tuple, files: pd.DataFrame) -> pd.DataFrame:
+    """An archive of a repository's files, or something else where its state is bad."""
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        for entry, content in zip(files["entry"], files["content"]):
+            archive.writestr(entry, content)
+    content = buffer.getvalue() if key[1] == "good" else b"no archive"
+    return pd.DataFrame({"full_name": [key[0]], "content": [content]})
+
+
+def _save_repositories(spark, sf, folder: str) -> None:
+    """Archives ``folder/owner/name.zip`` of all repositories whose archive is not missing."""
+    entry = F.concat(F.substring(F.col("dir"), F.length("root") + 2, F.lit(1 << 20)), F.lit("/"), "file")
+    files_ = fixture(spark, sf, "f_files").join(fixture(spark, sf, "f_archive_state").filter("state <> 'missing'"), "full_name")
+    packed = files_.select("full_name", "state", entry.alias("entry"), "content").groupBy("full_name", "state").applyInPandas(_zip_repository, "full_name string, content binary")
+
+    def save(batches):
+        for batch in batches:
+            for name, content in zip(batch["full_name"], batch["content"]):
+                store, path = open_store(f"{folder}/{name}.zip")
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(path) as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    packed.mapInPandas(save, "n bigint").agg(F.sum("n")).collect()
+
+
+def _answered_run(spark, sf):
+    folder = fresh_path(spark, "fetched")
+    _save_repositories(spark, sf, folder)
+    formats.register_formats(spark)
+    unpacked = spark.read.format("archives").option("path", folder).load()
+    name = F.regexp_extract("path", "([^/]+/[^/]+)[.]zip$", 1).alias("full_name")
+    below = F.regexp_extract(F.substring(F.col("dir"), F.length("root") + 2, F.lit(1 << 20)), "^[^/]*/?(.*)$", 1)
+    trees_ = fixture(spark, sf, "f_files").select("full_name", F.concat_ws("/", F.nullif(below, F.lit("")), "file").alias("path"), F.col("content").cast("binary"))
+    return get_code_answered(
+        read_requests(fixture(spark, sf, "f_messages"), ["msg_id"]).withColumnRenamed("msg_id", "req_id"),
+        fixture(spark, sf, "f_run_settings"),
+        fixture(spark, sf, "f_answers"),
+        # without the last candidate some repositories have no branch to fetch
+        fixture(spark, sf, "f_branches").filter("branch <> 'latest'"),
+        fixture(spark, sf, "f_default_branches"),
+        unpacked.select(name, "entry", "piece", "content", "problem"),
+        trees_,
+        fixture(spark, sf, "f_raw_available"),
+        "/data/repos",
+    )
+
+
+@query
+def get_code_answered_status(spark, sf):
+    return _answered_run(spark, sf).status
+
+
+@query
+def get_code_ingested(spark, sf):
+    """Files that two equal runs have stored in place of each other."""
+    out, run = fresh_path(spark, "code"), _answered_run(spark, sf)
+    run.write(out)
+    run.write(out)
+    stored = tables.read_table(spark, f"{out}/repos")
+    return stored.select("full_name", "fetch_mode", "branch", F.concat_ws("/", "dir", "file").alias("path"), "status", F.sha2("content", 256).alias("digest"))
+
+
 def _docs_run(spark, sf):
     return get_docs(
         read_requests(fixture(spark, sf, "f_messages"), ["msg_id"]).withColumnRenamed("msg_id", "req_id"),

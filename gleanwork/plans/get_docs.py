@@ -112,8 +112,8 @@ def get_docs(requests: DataFrame, settings: DataFrame, pages: DataFrame, include
         "seed",
         *limits,
         "browser",
-        F.coalesce("n_found", F.lit(0)).cast("bigint").alias("n_found"),
-        F.coalesce("n_saved", F.lit(0)).cast("bigint").alias("n_saved"),
+        # the same address may have been crawled for another request
+        *[F.when(_outcome() == "crawled", F.coalesce(n, F.lit(0))).otherwise(0).cast("bigint").alias(n) for n in ("n_found", "n_saved")],
         _outcome().alias("outcome"),
     ).withColumn("final_text", F.when(F.col("outcome") == "crawled", finished_text("n_saved")).when(F.col("outcome") == "no_browser", TEXT_NO_BROWSER))
     domains = crawls.select("seed", url_netloc("node").alias("folder"))

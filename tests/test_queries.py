@@ -40,6 +40,9 @@ def test_fixtures_reach_every_branch(larger):
     assert values("search_and_fetch_mode", "fetch_mode") == {"api", "zip"}
     assert values("pick_profile", "browser") == {"chromium", "firefox"}
     assert values("crawl_sites", "depth") == {0, 1, 2, 3}
+    assert values("get_code_answered_status", "status") == {"not_found", "empty", "bad_payload", "list", "download", "download_failed", "missing_archive", "bad_archive"}
+    assert values("get_code_ingested", "status") == {"local", "raw", "failed"}
+    assert values("get_docs_outcomes", "outcome") == {"crawled", "no_browser", "crawl_failed"}
     assert values("get_code_status", "status") >= {"not_found", "download", "list"}
 
 
