@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from gleanwork.llm.common import packed, staged, unpacked
 from gleanwork.llm.components import components
 from gleanwork.llm.hashing import WordHashes, mixed, multipliers, shingles
-from gleanwork.session import staged_metrics
+from gleanwork.session import staged_metrics, task_count
 
 SHINGLE = 5
 SIMILAR = 75  # hundredths
@@ -44,6 +44,7 @@ ROUNDS = 8
 # round, where every set is a group of its own, and later.
 FEW_FIRST, FEW = 8, 512
 BLOCK = 1024
+SET_BLOCK = 256  # where full sets are compared
 # Of 64 functions, sets at 0.75 agree on 48 on average; fewer than 31 have probability below 2e-6.
 AGREE = 31
 
@@ -92,7 +93,12 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _is_similar(p: np.ndarray, q: np.ndarray) -> bool:
-    both = len(np.intersect1d(p, q, assume_unique=True))
+    """Of two sorted sets, neither empty."""
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    both = np.count_nonzero(q[at] == p)
     return 100 * both >= SIMILAR * (len(p) + len(q) - both)
 
 
@@ -167,18 +173,19 @@ def _few_pairs(small: DataFrame) -> DataFrame:
     return small.select("node", F.col("v").alias("a")).join(theirs, "node").filter("a < b").select("a", "b")
 
 
-def _grid(rows: DataFrame) -> DataFrame:
-    """Members of nodes, cut into a grid of blocks: each meets the sets outside the node's largest group.
+def _grid(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Members of nodes, cut into a grid of blocks of about ``block`` rows: each meets the sets outside the node's largest group.
 
     ``out`` rows are those outside, placed in a row of the grid; the others fill its columns.
     """
-    cuts = {"o": F.ceil(F.col("outside") / BLOCK).cast("int"), "m": F.ceil(F.col("size") / BLOCK).cast("int")}
+    cuts = {"o": F.ceil(F.col("outside") / block).cast("int"), "m": F.ceil(F.col("size") / block).cast("int")}
     place = lambda side: F.pmod(F.xxhash64("v"), cuts[side]).cast("int").alias(side)
     every = lambda side: F.explode(F.sequence(F.lit(0), cuts[side] - 1)).alias(side)
     kept = [c for c in rows.columns if c not in ("size", "outside", "top", "pivot")] + [(F.col("c") == F.col("top")).alias("in_top")]
     members = rows.select(*kept, F.lit(False).alias("out"), place("m"), every("o"))
     outside = rows.filter("c <> top").select(*kept, F.lit(True).alias("out"), every("m"), place("o"))
-    return members.unionByName(outside)
+    # the cost of a block does not show in its size, so tasks are not to be packed by size
+    return members.unionByName(outside).repartition(task_count(rows.sparkSession), "node", "o", "m")
 
 
 class _Block:
@@ -256,7 +263,7 @@ def _block_links(docs: DataFrame, apart: DataFrame, reps: DataFrame) -> DataFram
         block, xs, ys = _Block(rows), [], []
         sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["whole"].to_pylist()]
         here = rows["node"][0].as_py()
-        lists = [np.array([n for n in nodes if n < here], dtype=np.int64) for nodes in rows["nodes"].to_pylist()]
+        before = [{n for n in nodes if n < here} for nodes in rows["nodes"].to_pylist()]
         root = list(range(int(block.group.max()) + 1))
 
         def find(g: int) -> int:
@@ -268,13 +275,13 @@ def _block_links(docs: DataFrame, apart: DataFrame, reps: DataFrame) -> DataFram
         for x, near, agree in block.likely():
             for y in near[np.argsort(-agree, kind="stable")]:
                 a, b = find(block.group[x]), find(block.group[y])
-                if a != b and not len(np.intersect1d(lists[x], lists[y], assume_unique=True)) and _is_similar(sets[x], sets[y]):
+                if a != b and before[x].isdisjoint(before[y]) and _is_similar(sets[x], sets[y]):
                     root[max(a, b)] = min(a, b)
                     xs.append([x])
                     ys.append([y])
         return pa.table([block.named(xs), block.named(ys)], ["a", "b"])
 
-    found = _grid(rows.join(known, "v")).groupBy("node", "o", "m").applyInArrow(confirm, f"a {kind}, b {kind}")
+    found = _grid(rows.join(known, "v"), SET_BLOCK).groupBy("node", "o", "m").applyInArrow(confirm, f"a {kind}, b {kind}")
     return staged(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "block_links")
 
 
