@@ -205,6 +205,20 @@ FIXTURES: dict[str, str] = {
                case o_orderstatus when 'P' then 'submodule' else 'file' end
         from {orders} join {customer} on c_custkey = o_custkey join {nation} on n_nationkey = c_nationkey
         join {region} on r_regionkey = n_regionkey""",
+    # a tree of chains: a part's folder lies in that of the part before it, up to 200 deep
+    "f_deep_tree": """
+        select p_brand as full_name, 'd' || p_partkey as id,
+               case when place % 200 = 1 then cast(null as string) else 'd' || before end as parent, 'p' || p_partkey as name, 'dir' as type
+        from (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_partkey) as place,
+                     lag(p_partkey) over (partition by p_brand order by p_partkey) as before from {part}) d
+        union all
+        select p_brand, 'f' || p_partkey, 'd' || p_partkey, p_name, case p_type when 'PROMO' then 'link' else 'file' end from {part}
+        union all
+        select p_brand, 'l' || p_partkey, 'd-' || p_partkey, 'lost', 'file' from {part}
+        union all
+        select p_brand, 'c' || p_partkey, 'c' || p_partkey, 'circle', 'dir' from {part}
+        union all
+        select p_brand, 'g' || p_partkey, 'c' || p_partkey, 'inside', 'file' from {part}""",
 }
 
 _NAME = re.compile(r"\{([a-z_]+)\}")

@@ -261,6 +261,10 @@ _TEXTS: dict[str, str] = {
         union all
         select 'own' || (doc_id % 10) || '/text' || doc_id, null, null, null, null, 'bad_archive' from {documents}""",
     "archives_stream": "with " + _ARCHIVED + " select * from archived",
+    "list_deep_tree": """
+        with placed as (select p_brand, p_partkey, p_name, p_type, row_number() over (partition by p_brand order by p_partkey) as place from {part}),
+        named as (select *, string_agg('p' || p_partkey, '/') over (partition by p_brand, (place - 1) // 200 order by place) as above from placed)
+        select p_brand as full_name, 'f' || p_partkey as id, above || '/' || p_name as path from named where p_type <> 'PROMO'""",
     "list_tree": """
         select r_name as full_name, 'o' || o_orderkey as id, n_name || '/' || c_name || '/order-' || o_orderkey || '.txt' as path
         from {orders} join {customer} on c_custkey = o_custkey join {nation} on n_nationkey = c_nationkey

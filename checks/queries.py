@@ -146,6 +146,11 @@ def list_tree(spark, sf):
     return trees.list_tree(fixture(spark, sf, "f_tree"))
 
 
+@query
+def list_deep_tree(spark, sf):
+    return trees.list_deep_tree(fixture(spark, sf, "f_deep_tree"))
+
+
 @query
 def read_repositories_api(spark, sf):
     return trees.read_repositories(spark, "api", "/data/repos", entries=fixture(spark, sf, "f_tree"))

@@ -221,3 +221,20 @@ def test_streams_go_on_where_they_stopped(spark):
 
 def test_shared_dir_is_the_configured_one(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_deep_tree_in_few_rounds(spark, monkeypatch):
+    """A chain of 1,000 folders takes at most 11 rounds; circles and lost folders have no path."""
+    rounds = []
+    staged = trees.stage
+    monkeypatch.setattr(trees, "stage", lambda df, label, **m: rounds.append(label) or staged(df, label, **m))
+    rows = [("r", f"d{i}", f"d{i - 1}" if i else None, f"n{i}") for i in range(1000)]
+    rows += [("r", "a", "b", "a"), ("r", "b", "c", "b"), ("r", "c", "a", "c"), ("r", "in", "a", "in")]
+    rows += [("r", "lost", "nowhere", "lost"), ("r", "below", "lost", "below"), ("q", "d5", None, "other")]
+    df = spark.createDataFrame(rows, "full_name string, id string, parent string, name string")
+    got = {(r.full_name, r.id): r.path for r in trees.folder_paths(df, rows_per_task=50).collect()}
+    want = {("r", f"d{i}"): "/".join(f"n{k}" for k in range(i + 1)) for i in range(1000)}
+    assert got == {**want, ("q", "d5"): "other"}
+    # both passes stage their start and each round
+    assert rounds.count("jumps") <= 2 + 2 * 12
+    assert trees.folder_paths(df.limit(0)).count() == 0
