@@ -176,3 +176,15 @@ with e as (
 )
 select anchor_id, positive_id, cast(k as integer) as rank, negative_id, positive_score, negative_score from n where k <= 5
 """
+
+ORACLE["quality_ablation"] = f"""
+with rows as ({ORACLE["op6_quality_rules"]}),
+cases as (
+  select * from (values ('base', 3), ('v1', 15), ('v2', 127)) as p(policy, mask),
+    (values ('few_words', 1), ('repeated_words', 2), ('many_symbols', 4), ('shouting', 8), ('repeated_lines', 16), ('stutter', 32), ('odd_word_length', 64)) as r(rule, bit)
+  where mask & bit <> 0
+)
+select policy, rule, cast(count_if(failed_rules & bit <> 0) as bigint) as n_failed,
+  cast(count_if(failed_rules & mask = bit) as bigint) as n_only, cast(count_if(failed_rules & mask <> 0) as bigint) as n_rejected
+from rows, cases group by policy, rule
+"""

@@ -111,3 +111,9 @@ def op11_merkle_manifest(spark, sf):
 @query
 def op13_hard_negatives(spark, sf):
     return negatives.hard_negatives(negatives.moved_labels(table(spark, sf, "embeddings")))
+
+
+@query
+def quality_ablation(spark, sf):
+    """What each rule costs under each policy."""
+    return quality.ablation(quality.ledger(table(spark, sf, "documents")))

@@ -70,7 +70,8 @@ def train(labelled: DataFrame, passes: int = PASSES) -> tuple[np.ndarray, np.nda
 
     One task goes through all rows ``passes`` times, in the order of a hash, so the order of
     the input has no effect; the caller bounds their number. Features of a text count once.
-    The model has at most ``2 ** BITS`` weights. Without rows it has none.
+    The model has at most ``2 ** BITS`` weights. Where L1 leaves none, as with few rows, its one
+    weight is the bias that gives the share of ones; without rows that share is 0.
     """
 
     def learn(batches):
@@ -94,6 +95,11 @@ def train(labelled: DataFrame, passes: int = PASSES) -> tuple[np.ndarray, np.nda
     rows = labelled.filter("label is not null").select("doc_id", "text", F.col("label").cast("double").alias("label"))
     ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("text", "doc_id"), "label")
     found = ordered.select("text", "label").mapInPandas(learn, "feature bigint, weight double").toPandas()
+    if not len(found):
+        # too little to learn from: the share of ones decides, and without any label none is toxic
+        share = rows.agg(F.avg("label")).first()[0] or 0.0
+        share = min(max(share, 1e-6), 1 - 1e-6)
+        return np.zeros(1, dtype=np.int64), np.array([np.log(share / (1 - share))])
     return found["feature"].to_numpy(dtype=np.int64), found["weight"].to_numpy(dtype=float)
 
 
