@@ -14,8 +14,6 @@ codes miss about one in a hundred; the tests measure it on planted pairs.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
