@@ -7,10 +7,9 @@ probability s per branch, so similar sets stay together while others part. Nodes
 sets outside their largest known group are compared exhaustively; larger ones are compared
 with one member and branch again. Every link is confirmed on full sets.
 
-Only sets that no known link joins are compared, and in two steps: first each set with the
-most promising ones, which joins most of a large group, then all that are still apart. The
-comparison runs in blocks of a node's sets and returns links alone, so no table ever holds
-the pairs of a node.
+Only sets that no known link joins are compared. The comparison runs in blocks of a node's
+sets, the most promising pairs first, stops between two groups once it has joined them, and
+returns links alone, so no table ever holds the pairs of a node.
 
 A pair at similarity 0.75 shares none of the ``TREES`` times ``ROOT_BRANCHES`` first children
 with probability 6e-8, and is passed over by the short signature with one below 2e-6.
@@ -181,7 +180,7 @@ def _grid(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     cuts = {"o": F.ceil(F.col("outside") / block).cast("int"), "m": F.ceil(F.col("size") / block).cast("int")}
     place = lambda side: F.pmod(F.xxhash64("v"), cuts[side]).cast("int").alias(side)
     every = lambda side: F.explode(F.sequence(F.lit(0), cuts[side] - 1)).alias(side)
-    kept = [c for c in rows.columns if c not in ("size", "outside", "top", "pivot")] + [(F.col("c") == F.col("top")).alias("in_top")]
+    kept = [c for c in rows.columns if c not in ("size", "outside", "top", "pivot")]
     members = rows.select(*kept, F.lit(False).alias("out"), place("m"), every("o"))
     outside = rows.filter("c <> top").select(*kept, F.lit(True).alias("out"), every("m"), place("o"))
     # the cost of a block does not show in its size, so tasks are not to be packed by size
@@ -197,7 +196,6 @@ class _Block:
         self._brief = np.frombuffer(b"".join(rows["brief"].to_pylist()), dtype="u1").reshape(len(self._out), -1)
         self.ids = rows["v"].combine_chunks()
         self.group = pd.factorize(rows["c"].to_pandas())[0]
-        self.in_top = rows["in_top"].to_numpy()
 
     def likely(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Each outside set with its likely partners of other groups and how far they agree."""
@@ -212,24 +210,6 @@ class _Block:
         return self.ids.take(pa.array(np.concatenate([np.empty(0, dtype=np.int64), *places]).astype(np.int64)))
 
 
-def _promising_pairs(small: DataFrame, reps: DataFrame) -> DataFrame:
-    """For each set outside a node's largest group and each block, the likeliest partner in
-    the largest group and the likeliest elsewhere."""
-
-    def compare(rows: pa.Table) -> pa.Table:
-        block, xs, ys = _Block(rows), [], []
-        for x, near, agree in block.likely():
-            sides = [np.flatnonzero(block.in_top[near]), np.flatnonzero(~block.in_top[near])]
-            best = [near[side[agree[side].argmax()]] for side in sides if len(side)]
-            xs.append(np.full(len(best), x))
-            ys.append(np.array(best, dtype=np.int64))
-        return pa.table([block.named(xs), block.named(ys)], ["x", "y"])
-
-    kind = reps.schema["v"].dataType.simpleString()
-    pairs = _grid(small.join(reps.select("v", "n", "brief"), "v")).groupBy("node", "o", "m").applyInArrow(compare, f"x {kind}, y {kind}")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def _block_links(docs: DataFrame, apart: DataFrame, reps: DataFrame) -> DataFrame | None:
     """Links between groups that meet in a node, enough of them to join all groups that are linked.
 
@@ -324,10 +304,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if number == 0:
             link(_few_pairs(small).union(_star(large)))
         else:
-            link(_promising_pairs(small, reps).union(_star(large)))
+            if n_large:
+                link(_star(large))
             if seen["rows"] > n_large:
-                apart, _ = _open(small.select("node", "v"), labels, few, False)
-                take_in(_block_links(docs, apart, reps))
+                take_in(_block_links(docs, small, reps))
         if not n_large:
             break
         below = large.join(reps.select("v", "data"), "v")
