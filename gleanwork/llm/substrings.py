@@ -1,12 +1,15 @@
 """Removal of long word sequences that an earlier document has, by De Bruijn compaction.
 
-A run of ``K`` words is an edge from its first ``K - 1`` words to its last. Only edges that
-several documents share matter, and they are found in two steps: every window of ``K`` words
-names the smallest hash among its runs of ``M`` words, equal windows name the same one, and
-so only windows whose name several documents share can repeat. Those become edges. An edge
-is joined to the next if every occurrence is followed by the same word and every occurrence
-of the next is preceded by the same one: a nonbranching path. Each path is one span of its
-first source document, whose coordinates its other occurrences are checked against.
+A run of ``K`` words is an edge from its first ``K - 1`` words to its last. Of equal texts
+the one with the smallest id makes edges; the others have all of theirs in it. Every edge
+names the smallest hash among its runs of ``M`` words; equal edges name the same one, so
+only edges whose name several documents share can repeat.
+
+Neighbouring edges of one name are a path, written as one row. Where documents agree they cut
+their paths alike, so most repeats are whole paths: a join on the digest of the words finds
+the first source of each and leaves no branch inside it. Paths of one name that differ do
+branch, mostly at the ends of what documents share. Only those are taken apart into edges
+again, one copy of each, at the coordinates of its source.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanwork.llm.common import staged
@@ -24,6 +27,8 @@ from gleanwork.llm.hashing import WordHashes, windows
 K = 13
 M = 5
 _EMPTY = np.empty(0, dtype=np.uint64)
+# stands for all edges of a text
+_WHOLE = 2**40
 
 
 def _split(text: str | None) -> list[bytes]:
@@ -42,6 +47,13 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
 
 
+def _sources(texts: DataFrame) -> DataFrame:
+    """``doc_id, t, first``: each text under each id, and the smallest id that has the same text."""
+    rows = staged(texts.select("doc_id", "t", F.sha2("text", 256).alias("digest")).distinct(), "digests")
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    return staged(rows.join(first, "digest").select("doc_id", "t", "first"), "sources")
+
+
 def _anchors(texts: DataFrame) -> DataFrame:
     """``name, doc_id, t``: the distinct window names of each document."""
 
@@ -57,88 +69,86 @@ def _anchors(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, "name bigint, doc_id bigint, t bigint")
 
 
-def _edges(marked: DataFrame) -> DataFrame:
-    """``a, b, doc_id, t, i, left, right``: windows whose name is marked.
+def _paths(marked: DataFrame) -> DataFrame:
+    """``a, b, name, doc_id, t, i, n, edges``: neighbouring edges whose name is marked.
 
-    Two independent hashes stand for the 13 words; ``left`` and ``right`` for the words
-    around them, 0 at the ends of a document.
+    ``a`` and ``b`` are a digest of the words under the ``n`` edges from word ``i``;
+    ``edges`` holds a hash of the words of each.
     """
 
     def rows(batches):
-        one, two = WordHashes(), WordHashes(seed=1)
-        names = ["a", "b", "doc_id", "t", "i", "left", "right"]
+        table = WordHashes()
+        columns = ["a", "b", "name", "doc_id", "t", "i", "n", "edges"]
         for batch in batches:
-            out, owner = [[] for _ in range(5)], []
+            digests, names, places, counts, edges, owner = [], [_EMPTY], [], [np.zeros(1, np.int64)], [_EMPTY], []
             for number, (text, shared) in enumerate(zip(batch.column(2), batch.column(3))):
                 words = _split(text.as_py())
-                h = one.of(words)
+                h = table.of(words)
+                of_edge = _names(h)
+                starts = np.flatnonzero(np.concatenate([[True], of_edge[1:] != of_edge[:-1]]))
+                n = np.diff(np.append(starts, len(of_edge)))
                 shared = np.asarray(shared.values.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64)
-                at = np.flatnonzero(np.isin(_names(h), shared))
-                around = np.concatenate([np.zeros(1, np.uint64), h | np.uint64(1), np.zeros(1, np.uint64)]).view(np.int64)
-                parts = windows(h, K, seed=5)[at].view(np.int64), windows(two.of(words), K, seed=9)[at].view(np.int64), at, around[at], around[at + K + 1]
-                for column, part in zip(out, parts):
-                    column.append(part)
-                owner.append(np.full(len(at), number))
-            a, b, i, left, right = [np.concatenate([np.empty(0, np.int64), *x]) for x in out]
-            take = pa.array(np.concatenate([np.empty(0, np.int64), *owner]).astype(np.int64))
-            columns = [pa.array(a), pa.array(b), batch.column(0).take(take), batch.column(1).take(take), pa.array(i), pa.array(left), pa.array(right)]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = "a bigint, b bigint, doc_id bigint, t bigint, i bigint, left bigint, right bigint"
+                chosen = np.isin(of_edge[starts], shared)
+                edges.append(windows(h, K, seed=5)[np.repeat(chosen, n)])
+                starts, n = starts[chosen], n[chosen]
+                digests += [_digest(words[i : i + m + K - 1]) for i, m in zip(starts.tolist(), n.tolist())]
+                names.append(of_edge[starts])
+                places.append(starts)
+                counts.append(n)
+                owner.append(np.full(len(n), number))
+            both = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            take = pa.array(np.concatenate(owner or [np.empty(0, np.int64)]))
+            n = np.concatenate(counts)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(n).astype(np.int32)), pa.array(np.concatenate(edges).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(both[:, 0]),
+                    pa.array(both[:, 1]),
+                    pa.array(np.concatenate(names).view(np.int64)),
+                    batch.column(0).take(take),
+                    batch.column(1).take(take),
+                    pa.array(np.concatenate(places or [np.empty(0, np.int64)])),
+                    pa.array(n[1:]),
+                    lists,
+                ],
+                columns,
+            )
+
+    schema = "a bigint, b bigint, name bigint, doc_id bigint, t bigint, i bigint, n bigint, edges array<bigint>"
     return marked.select("doc_id", "t", "text", "names").mapInArrow(rows, schema)
 
 
-def _digests(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Digest of the words that each path ``path, i, n`` covers in its source document."""
-
-    def rows(batches):
-        for batch in batches:
-            paths, out = [], []
-            for text, spans_of in zip(batch.column(0), batch.column(1)):
-                words = _split(text.as_py())
-                for span in spans_of.as_py():
-                    paths.append(span["path"])
-                    out.append(_digest(words, span["i"], span["n"]))
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.int64()), pa.array(out, pa.binary())], ["path", "digest"])
-
-    by_doc = spans.groupBy("doc_id", "t").agg(F.collect_list(F.struct("path", "i", "n")).alias("spans"))
-    return texts.join(by_doc, ["doc_id", "t"]).select("text", "spans").mapInArrow(rows, "path bigint, digest binary")
-
-
-def _digest(words: list[bytes], i: int, n: int) -> bytes:
-    """Of the words under ``n`` edges from place ``i``."""
-    return hashlib.blake2b(b" ".join(words[i : i + n + K - 1]), digest_size=16).digest()
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """``doc_id, t, i, n, digest``: places where a document repeats an earlier one.
-
-    ``n`` edges from word ``i`` are those of a path whose first source has a smaller id.
-    """
+    """``doc_id, t, i, n``: ``n`` edges from word ``i`` start in a document with a smaller id."""
     texts = texts.filter("doc_id is not null and text is not null")
-    anchors = staged(_anchors(texts), "anchors")
+    sources = _sources(texts)
+    own = sources.filter("doc_id = first").select("doc_id", "t")
+    copies = sources.filter("doc_id > first").select("doc_id", "t", F.lit(0).cast("bigint").alias("i"), F.lit(_WHOLE).alias("n"))
+
+    anchors = staged(_anchors(texts.join(own, ["doc_id", "t"]).select("doc_id", "t", "text")), "anchors")
     shared = anchors.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("name")
     names = anchors.join(staged(shared, "shared"), "name").groupBy("doc_id", "t").agg(F.collect_set("name").alias("names"))
-    edges = staged(_edges(texts.dropDuplicates(["doc_id", "t"]).join(staged(names, "names"), ["doc_id", "t"])), "edges")
-    by_edge = edges.groupBy("a", "b").agg(
-        F.min(F.struct("doc_id", "t", "i")).alias("first"),
-        F.max("doc_id").alias("last_id"),
-        (F.min("left") == F.max("left")).alias("one_left"),
-        (F.min("right") == F.max("right")).alias("one_right"),
-    )
-    repeated = by_edge.filter("first.doc_id < last_id").select("a", "b", "first.*", "one_left", "one_right")
-    # nonbranching neighbours in the source are one path; a path starts where that breaks
-    in_source = Window.partitionBy("doc_id", "t").orderBy("i")
-    before = lambda name: F.lag(name).over(in_source)
-    goes_on = (before("i") == F.col("i") - 1) & before("one_right") & F.col("one_left")
-    start = F.when(F.coalesce(goes_on, F.lit(False)), F.lit(0)).otherwise(F.lit(1))
-    paths = repeated.withColumn("start", start).withColumn("number", F.sum("start").over(in_source))
-    heads = paths.groupBy("doc_id", "t", "number").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("a", "b"), "i").alias("edge"))
-    heads = staged(heads.select("doc_id", "t", "i", "n", "edge.*", F.monotonically_increasing_id().alias("path")), "paths")
-    sources = heads.join(staged(_digests(texts.dropDuplicates(["doc_id", "t"]), heads), "digests"), "path")
-    sources = staged(sources.select("a", "b", F.col("doc_id").alias("source"), "n", "digest"), "sources")
-    found = edges.select("a", "b", "doc_id", "t", "i").join(sources, ["a", "b"]).filter("doc_id > source")
-    return found.select("doc_id", "t", "i", "n", "digest")
+    paths = staged(_paths(texts.join(staged(names, "names"), ["doc_id", "t"])), "paths")
+
+    # one row per path: its first source, and whether others have it
+    graph = paths.groupBy("a", "b", "name").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
+    graph = staged(graph, "graph")
+    repeats = graph.filter("source < last").select("a", "b", "source")
+    whole = paths.select("a", "b", "doc_id", "t", "i", "n").join(repeats, ["a", "b"]).filter("doc_id > source")
+
+    # a name whose paths differ between sources branches
+    forks = graph.groupBy("name").agg(F.min("source").alias("lo"), F.max("source").alias("hi")).filter("lo < hi").select("name")
+    forked = graph.join(forks, "name", "left_semi").select("a", "b", F.col("source").alias("doc_id"))
+    forked = staged(paths.select("a", "b", "name", "doc_id", "t", "i", "edges").join(forked, ["a", "b", "doc_id"]).drop("a", "b"), "forked")
+    edges = forked.select("name", "doc_id", "t", "i", F.posexplode("edges").alias("at", "edge"))
+    first = edges.groupBy("name", "edge").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    parts = edges.join(first.select("name", "edge", "lo"), ["name", "edge"]).filter("doc_id > lo")
+    parts = parts.select("doc_id", "t", (F.col("i") + F.col("at")).alias("i"), F.lit(1).cast("bigint").alias("n"))
+    return copies.unionByName(whole.select("doc_id", "t", "i", "n")).unionByName(parts)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -146,11 +156,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     Words under a window that starts in a document with a smaller id go; windows are those
     of the input. Null texts have no words. Rows without an id neither lose words nor take
-    any. Rows with one id are no earlier than each other. A span is removed where its words
-    have the digest of its source's.
+    any. Rows with one id are no earlier than each other, repeated rows fare alike. Texts of
+    any length are taken whole, extra columns are not read, no rows give no rows. Whole paths
+    are equal by a digest of 128 bits, single edges of one name by a hash of 64.
     """
     texts = _texts(docs)
-    spans = repeated_spans(texts).groupBy("doc_id", "t").agg(F.collect_list(F.struct("i", "n", "digest")).alias("spans"))
+    spans = repeated_spans(texts).groupBy("doc_id", "t").agg(F.collect_list(F.struct("i", "n")).alias("spans"))
     df = texts.join(staged(spans, "spans"), ["doc_id", "t"], "left").select("doc_id", "text", "spans")
 
     def rows(batches):
@@ -159,8 +170,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             for text, spans_of in zip(batch.column(1), batch.column(2)):
                 words = _split(text.as_py())
                 keep = np.ones(len(words), dtype=bool)
-                for span in spans_of.as_py() or ():
-                    if _digest(words, span["i"], span["n"]) == span["digest"]:
+                if len(words) >= K:
+                    for span in spans_of.as_py() or ():
                         keep[span["i"] : span["i"] + span["n"] + K - 1] = False
                 out["n_words"].append(len(words))
                 out["n_removed"].append(int(len(words) - keep.sum()))

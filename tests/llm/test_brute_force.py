@@ -82,6 +82,39 @@ def test_repeated_spans(spark, sf_dir):
         assert {r.doc_id: (r.n_words, r.n_removed, r.h) for r in rows} == removed([(r.doc_id, r.text) for r in df.collect()])
 
 
+# passages cut at other places, repeated words, one id twice
+FORKS = [
+    (1, A, "x"),
+    (2, " ".join(A.split()[:25] + ["other"] + A.split()[26:]), None),
+    (3, " ".join(A.split()[5:24] + A.split()[40:58]), "x"),
+    (3, " ".join(A.split()[20:50]), None),
+    (4, "same " * 40, None),
+    (5, "same " * 30 + A, None),
+    (5, "same " * 30 + A, None),
+    (6, " ".join(A.split()[:12]), None),
+    (7, " ".join(A.split()[:12]), None),
+    (8, "other " + " ".join(A.split()[26:39]), None),
+    (9, A.upper(), None),
+]
+
+
+def test_repeated_spans_that_branch(spark):
+    """Rows of one id take their windows together; they are no earlier than each other."""
+    df = spark.createDataFrame(FORKS, "doc_id long, text string, t string")
+    first = {}
+    for i, text, _ in FORKS:
+        w = text.split()
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    expected = []
+    for i, text, _ in FORKS:
+        w = text.split()
+        gone = {p for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
+        expected.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    rows = substrings.without_repeats(df).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in rows) == sorted(expected)
+
+
 def shingle_set(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
