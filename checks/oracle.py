@@ -227,6 +227,16 @@ _HREF = """(select page_id, url, unnest(regexp_extract_all(regexp_replace(html,
 # every link of the pages starts at the root of its site
 _ROOTED = f"split_part(url, '//', 1) || '//' || {_host('url')} || replace(href, '&amp;', '&')"
 
+# files after a fetch, the same fetch twice again with changes, and a merge of copies
+_STORED = """f as (select *, dir || '/' || file as path from {f_files}),
+        stored as (
+            select full_name, path, case when contains(path, '/src/') then content || chr(10) || '2' else content end as content
+            from f where supported
+            union all
+            select full_name, path, content from f where not supported and full_name not in (select full_name from f where supported)
+            union all
+            select full_name, path || '.copy', content from f where not supported)"""
+
 _TEXTS: dict[str, str] = {
     "read_search_raw": """
         select rank, pos - 1 as pos, name as full_name, 'https://github.com/' || name as html_url
@@ -442,6 +452,10 @@ _TEXTS: dict[str, str] = {
         where supported or full_name not in (select full_name from {f_files} where supported)""",
     "replace_repo_merge": """
         select full_name, dir || '/' || file as path, case when supported then 2 else 1 end as version from {f_files}""",
+    "file_store": "with " + _STORED + """
+        select full_name, path, sha256(content) as digest, octet_length(encode(content)) as n_bytes from stored""",
+    "file_store_contents": "with " + _STORED + """
+        select sha256(content) as digest, 1 as n_stored, count(*) as n_files from stored group by 1""",
     "route_stream": "with " + _COMMANDS + " select msg_id, cmd, arg from routed",
     "seen_stream": "with " + _COMMANDS + " select distinct cmd, arg from routed",
     "requests_seen_lately": """

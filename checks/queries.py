@@ -22,6 +22,7 @@ from gleanwork.plans.get_code import get_code
 from gleanwork.plans.get_docs import get_docs
 from gleanwork.session import fresh_path, stage
 from gleanwork.sinks import manifest, run_log, tables
+from gleanwork.sinks.file_store import FileStore
 from gleanwork.sources import archives, formats, search, storage, trees
 from gleanwork.sources.requests import read_requests
 from gleanwork.sources.storage import open_store
@@ -633,6 +634,39 @@ def replace_repo_merge(spark, sf):
 # --- streams -----------------------------------------------------------------------
 
 
+def _stored_files(spark, sf) -> FileStore:
+    """Repositories stored, those with supported files fetched again twice, others given more files."""
+    store = FileStore(spark, fresh_path(spark, "store"))
+    files = fixture(spark, sf, "f_files").select(
+        "full_name", F.concat_ws("/", "dir", "file").alias("path"), F.col("content").cast("binary").alias("content"), "supported"
+    )
+    again = files.filter("supported")
+    again = again.withColumn("content", F.when(F.col("path").contains("/src/"), F.concat("content", F.lit("\n2").cast("binary"))).otherwise(F.col("content")))
+    mirrored = files.filter("not supported").withColumn("path", F.concat("path", F.lit(".copy")))
+    store.write(files)
+    store.write(again)
+    store.write(again)
+    store.write(mirrored, merge=True)
+    store.compact()
+    return store
+
+
+@query
+def file_store(spark, sf):
+    """Files as they are read back after all writes."""
+    return _stored_files(spark, sf).read().select("full_name", "path", F.sha2("content", 256).alias("digest"), F.length("content").alias("n_bytes"))
+
+
+@query
+def file_store_contents(spark, sf):
+    """Each content is stored once, and those that no file names are swept."""
+    store = _stored_files(spark, sf)
+    store.sweep()
+    stored = store.contents().groupBy("digest").agg(F.count(F.lit(1)).alias("n_stored"))
+    named = store.files().groupBy("digest").agg(F.count(F.lit(1)).alias("n_files"))
+    return stored.join(named, "digest", "left").select("digest", "n_stored", "n_files")
+
+
 def _message_files(spark, sf) -> str:
     folder = fresh_path(spark, "messages")
     fixture(spark, sf, "f_messages").select("msg_id", "msg").repartition(6, "msg_id").write.parquet(folder)
