@@ -32,3 +32,19 @@ def components(edges: DataFrame) -> DataFrame:
         if staged_metrics(labels)["digest"] == before:
             break
     return labels
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels ``v, c`` after further ``links(a, b)``.
+
+    Links are taken between the components that there are, so the rounds run over these and
+    not over all earlier links again. A vertex without a label is its own.
+    """
+    for side in ("a", "b"):
+        links = links.join(labels.select(F.col("v").alias(side), F.col("c").alias(f"c_{side}")), side, "left")
+    ends = staged(links.select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b")), "ends")
+    between = staged(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).filter("a <> b").distinct(), "between")
+    moved = components(between).select(F.col("v").alias("c"), F.col("c").alias("to"))
+    new = ends.select(F.col("a").alias("v"), F.col("c_a").alias("c")).union(ends.select("b", "c_b"))
+    every = labels.select("v", "c").union(new.join(labels, "v", "left_anti").distinct())
+    return staged(every.join(moved, "c", "left").select("v", F.coalesce("to", "c").alias("c")), "labels")

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanwork.llm.common import packed, staged, unpacked
-from gleanwork.llm.components import components
+from gleanwork.llm.components import components, joined
 from gleanwork.llm.hashing import WordHashes, mixed, multipliers, shingles
 from gleanwork.session import staged_metrics, task_count
 
@@ -121,8 +122,8 @@ def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, before: list[
 
     Pairs in ``before`` have been looked at in earlier rounds; new ones are added to it.
     """
-    for seen in before:
-        pairs = pairs.join(seen, ["a", "b"], "left_anti")
+    if before:
+        pairs = pairs.join(reduce(DataFrame.union, before), ["a", "b"], "left_anti")
     for side in ("a", "b"):
         theirs = reps.select(F.col("v").alias(side), F.col("n").alias(f"n_{side}"), F.col("brief").alias(f"brief_{side}"))
         pairs = pairs.join(theirs, side)
@@ -291,23 +292,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         small, large = rows.filter(F.col("outside") <= few), rows.filter(F.col("outside") > few)
         n_large = seen["large"] or 0
 
-        def take_in(found):
-            nonlocal links, labels
-            if found is not None:
-                links = links.union(found)
-            if labels is None or found is not None and staged_metrics(found)["rows"]:
-                labels = components(links)
-
-        def link(pairs):
-            take_in(_confirmed(docs, reps, pairs.distinct(), before))
-
+        found = []
         if number == 0:
-            link(_few_pairs(small).union(_star(large)))
+            found.append(_confirmed(docs, reps, _few_pairs(small).union(_star(large)).distinct(), before))
         else:
             if n_large:
-                link(_star(large))
+                found.append(_confirmed(docs, reps, _star(large).distinct(), before))
             if seen["rows"] > n_large:
-                take_in(_block_links(docs, small, reps))
+                found.append(_block_links(docs, small, reps))
+        found = [x for x in found if x is not None and staged_metrics(x)["rows"]]
+        if labels is None:
+            labels = components(reduce(DataFrame.union, found, links))
+        elif found:
+            labels = joined(labels, reduce(DataFrame.union, found))
         if not n_large:
             break
         below = large.join(reps.select("v", "data"), "v")

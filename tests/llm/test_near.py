@@ -6,6 +6,8 @@ import pytest
 from tests.llm.test_brute_force import shingle_set
 
 from gleanwork.llm import near
+from gleanwork.llm.common import staged
+from gleanwork.llm.components import components, joined
 
 SCHEMA = "doc_id long, text string, `a.b` string, component_id string, row int, v int"
 
@@ -58,3 +60,20 @@ def test_one_of_each_where_ids_clash(spark):
     assert near.keep_one_of_each(table(spark, [])).count() == 0
     plain = [(i, t) for i, t in enumerate([long, long + " x", "b", None, "b", ""])]
     assert sorted(r.doc_id for r in near.keep_one_of_each(table(spark, plain)).collect()) == [0, 2, 3, 5]
+
+
+def test_labels_after_further_links(spark):
+    """Links that come in three deliveries give the components of all of them."""
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(240)]
+    schema = "a long, b long"
+    whole = {r.v: r.c for r in components(staged(spark.createDataFrame(edges, schema), "all")).collect()}
+    labels = components(staged(spark.createDataFrame(edges[:80], schema), "first"))
+    for at in (80, 160):
+        labels = joined(labels, spark.createDataFrame(edges[at : at + 80], schema))
+    rows = labels.collect()
+    got = {r.v: r.c for r in rows}
+    assert len(rows) == len(got)
+    assert {v: c for v, c in got.items() if v in whole} == whole and all(got[v] == v for v in got.keys() - whole.keys())
+    none = joined(components(staged(spark.createDataFrame([], schema), "none")), spark.createDataFrame(edges[:3], schema))
+    assert none.count() == len({v for e in edges[:3] for v in e})
