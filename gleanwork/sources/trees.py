@@ -53,7 +53,7 @@ def list_tree(entries: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFra
 
 
 def _jumps(rows: DataFrame, max_rounds: int, rows_per_task: int) -> DataFrame:
-    """Join paths with themselves until they reach the top: ``full_name, id, up, path``.
+    """Join paths with themselves until they reach the top: ``full_name, id, up`` and, if ``rows`` has it, ``path``.
 
     ``up`` is the folder above what ``path`` covers, null at the top; a round doubles the
     length of all paths. Folders below one that is not listed are dropped. What is open after
@@ -61,6 +61,7 @@ def _jumps(rows: DataFrame, max_rounds: int, rows_per_task: int) -> DataFrame:
     """
     keys = ["full_name", "up"]
     is_open = F.col("up").isNotNull()
+    named = "path" in rows.columns
     rows = stage(rows, "jumps", open=F.count_if(is_open))
     done = rows.filter(~is_open)
     for _ in range(max_rounds):
@@ -68,10 +69,11 @@ def _jumps(rows: DataFrame, max_rounds: int, rows_per_task: int) -> DataFrame:
             break
         waiting = rows.filter(is_open)
         every = done.unionByName(waiting)
-        above = every.select("full_name", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        # written paths are far smaller than in memory, so their size must not make them a broadcast
+        above = every.select("full_name", F.col("id").alias("up"), F.col("up").alias("_up"), *([F.col("path").alias("_path")] if named else [])).hint("merge")
         # a folder with very many below it is a hot key
         met = split_join(waiting, above, keys, ["id"], key_load(waiting, keys, rows_per_task))
-        longer = met.select("full_name", "id", F.col("_up").alias("up"), F.concat_ws("/", "_path", "path").alias("path"))
+        longer = met.select("full_name", "id", F.col("_up").alias("up"), *([F.concat_ws("/", "_path", "path").alias("path")] if named else []))
         rows = stage(longer, "jumps", open=F.count_if(is_open))
         # what has reached the top is not written again
         done = done.unionByName(rows.filter(~is_open))
@@ -84,11 +86,11 @@ def folder_paths(folders: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> Data
     Depth d costs about log d rounds. Folders that lead to no top folder, below one that is
     missing or in a circle, have no path. Circles are found first, without the names, as
     paths would double in them; a circle is what is open when every depth that the number of
-    folders allows has been reached.
+    folders allows has been reached. A path without names would double too, in its slashes.
     """
     bare = stage(folders.select("full_name", "id", F.col("parent").alias("up"), "name"), "folders")
     rounds = staged_metrics(bare)["rows"].bit_length() + 1
-    reached = _jumps(bare.select("full_name", "id", "up", F.lit(None).cast("string").alias("path")), rounds, rows_per_task)
+    reached = _jumps(bare.drop("name"), rounds, rows_per_task)
     whole = reached.filter(F.col("up").isNull()).select("full_name", "id")
     named = bare.join(whole, ["full_name", "id"], "left_semi").select("full_name", "id", "up", F.col("name").alias("path"))
     return _jumps(named, rounds, rows_per_task).select("full_name", "id", "path")
@@ -98,6 +100,8 @@ def list_deep_tree(entries: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> Da
     """Like ``list_tree``, for trees of many levels: few rounds over all folders in place of one per level."""
     entries = entries.filter(handled_entry("type"))
     paths = folder_paths(entries.filter("type = 'dir'"), rows_per_task).select("full_name", F.col("id").alias("parent"), F.col("path").alias("_above"))
+    # long paths that are written small: never a broadcast
+    paths = paths.hint("merge")
     files = entries.filter("type = 'file'")
     inside, keys = files.filter(F.col("parent").isNotNull()), ["full_name", "parent"]
     listed = split_join(inside, paths, keys, ["id"], key_load(inside, keys, rows_per_task))

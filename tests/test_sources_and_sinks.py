@@ -238,3 +238,19 @@ def test_deep_tree_in_few_rounds(spark, monkeypatch):
     # both passes stage their start and each round
     assert rounds.count("jumps") <= 2 + 2 * 12
     assert trees.folder_paths(df.limit(0)).count() == 0
+
+
+def test_circles_make_no_long_paths(spark, monkeypatch):
+    longest, stage = [0], trees.stage
+
+    def measured(df, label, **metrics):
+        out = stage(df, label, **metrics)
+        if "path" in out.columns:
+            longest.append(out.agg(F.coalesce(F.max(F.length("path")), F.lit(0))).first()[0])
+        return out
+
+    monkeypatch.setattr(trees, "stage", measured)
+    rows = [("o/r", f"c{i}", f"c{i}", "circle") for i in range(40)] + [("o/r", "a", None, "a"), ("o/r", "b", "a", "b")]
+    df = spark.createDataFrame(rows, "full_name string, id string, parent string, name string")
+    assert {(r.id, r.path) for r in trees.folder_paths(df).collect()} == {("a", "a"), ("b", "a/b")}
+    assert max(longest) == 3
