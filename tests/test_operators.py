@@ -237,3 +237,15 @@ def test_every_heavy_key_is_spread(spark):
     assert load.splits().filter("_splits = 2").count() == 1500
     joined = skew.split_join(left, right, ["k"], ["i"], load)
     assert joined.filter("j = 2 * k").count() == joined.count() == 4500
+
+
+def test_first_by_rank_cuts_hits_before_its_sort(spark):
+    rows = [(i % 3 or None, None if i % 7 == 0 else 100 - i, f"o/{i % 2}") for i in range(60)]
+    hits = spark.createDataFrame(rows, "req_id int, rank int, full_name string")
+    got = catalog.first_by_rank(hits)
+    plain = skew.first_per_group(hits, ["req_id"], "rank")
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert got.columns == hits.columns
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # one row per distinct result comes to the sort
+    assert "Aggregate" in plan[plan.index("Window"):]
