@@ -254,3 +254,20 @@ def test_circles_make_no_long_paths(spark, monkeypatch):
     df = spark.createDataFrame(rows, "full_name string, id string, parent string, name string")
     assert {(r.id, r.path) for r in trees.folder_paths(df).collect()} == {("a", "a"), ("b", "a/b")}
     assert max(longest) == 3
+
+
+def test_small_archives_are_opened_once(tmp_path, monkeypatch):
+    opens, opened = [], archives.opened
+    monkeypatch.setattr(archives, "opened", lambda source: opens.append(1) or opened(source))
+    paths = [str(tmp_path / f"{i}.zip") for i in range(3)]
+    for path in paths[:2]:
+        with zipfile.ZipFile(path, "w") as packed:
+            packed.writestr("a.txt", "draft")
+            packed.writestr("./a.txt", "last")
+            packed.writestr("b/", "")
+    with open(paths[2], "w") as bad:
+        bad.write("no archive")
+    got = pd.concat(archives._read_small(iter([pd.DataFrame({"path": paths})])))
+    assert got["content"].tolist() == [b"last", b"last", None]
+    assert got["problem"].tolist() == [None, None, "bad_archive"]
+    assert len(opens) == 3
