@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,9 +63,16 @@ def read_requests_from_chat(spark, sf):
     return read_requests(fixture(spark, sf, "f_messages"), ["msg_id"])
 
 
-def _zip_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One archive per document: a folder, its text, and a second entry of the same name."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """Rows a few at a time, as a batch's texts and archives take much more room as Python objects."""
     for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            yield batch.slice(start, 500).to_pandas()
+
+
+def _zip_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One archive per document: a folder, its text, and a second entry of the same name."""
+    for batch in _slices(batches):
         packed = []
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
             buffer = io.BytesIO()
@@ -74,12 +82,12 @@ def _zip_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 archive.writestr("../main/id.txt", "draft")
                 archive.writestr("main/id.txt", str(doc_id))
             packed.append(buffer.getvalue())
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "content": packed})
+        yield pa.RecordBatch.from_arrays([pa.array(batch["doc_id"], pa.int64(), from_pandas=True), pa.array(packed, pa.binary())], ["doc_id", "content"])
 
 
 def _document_archives(spark, sf) -> DataFrame:
     docs = fixture(spark, sf, "documents").select("doc_id", "text")
-    return docs.mapInPandas(_zip_texts, "doc_id bigint, content binary")
+    return docs.mapInArrow(_zip_texts, "doc_id bigint, content binary")
 
 
 @query
@@ -92,15 +100,15 @@ def _save_archives(packed: DataFrame, folder: str, prefix: str = "rep") -> None:
     """Rows ``doc_id, content`` as files by owner."""
 
     def save(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             for doc_id, content in zip(batch["doc_id"], batch["content"]):
                 store, owner = open_store(f"{folder}/own{doc_id % 10}")
                 store.create_dir(owner, recursive=True)
                 with store.open_output_stream(f"{owner}/{prefix}{doc_id}.zip") as out:
                     out.write(content)
-            yield pd.DataFrame({"n": [len(batch)]})
+            yield pa.RecordBatch.from_pydict({"n": [len(batch)]})
 
-    packed.mapInPandas(save, "n bigint").agg(F.sum("n")).collect()
+    packed.mapInArrow(save, "n bigint").agg(F.sum("n")).collect()
 
 
 @query

@@ -40,7 +40,7 @@ _ARROW = pa.schema(
 )
 PARTITION_BYTES = 128 << 20
 PIECE_BYTES = 64 << 20
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 # A file costs at least as much as this many bytes, so that a task does not get too many.
 OPEN_BYTES = 1 << 20
 
@@ -151,7 +151,7 @@ class _Work:
             for row in type(self).rows(path, start, end, self.piece):
                 held.append(row)
                 size += len(row[4] or b"")
-                if size >= BATCH_BYTES or len(held) >= 10_000:
+                if size >= BATCH_BYTES or len(held) >= 2_000:
                     yield _batch(held)
                     held, size = [], 0
         if held:

@@ -271,3 +271,14 @@ def test_small_archives_are_opened_once(tmp_path, monkeypatch):
     assert got["content"].tolist() == [b"last", b"last", None]
     assert got["problem"].tolist() == [None, None, "bad_archive"]
     assert len(opens) == 3
+
+
+def test_archives_are_made_a_few_at_a_time():
+    import pyarrow as pa
+
+    from checks.queries import _zip_texts
+
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(1_200)), "text": ["x"] * 1_200})
+    made = list(_zip_texts(iter([docs])))
+    assert [len(batch) for batch in made] == [500, 500, 200]
+    assert sum((batch.column("doc_id").to_pylist() for batch in made), []) == list(range(1_200))
