@@ -24,6 +24,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# Stretches that a task holds back to merge them with those of later batches.
+HELD_ROWS = 50_000
+
 _STRETCH = "start_us bigint, end_us bigint, first_id string"
 
 
@@ -75,12 +78,13 @@ class Sightings(StatefulProcessor):
             else:
                 merged.append([start, end, first, told])
         self._state.put([tuple(s) for s in merged])
-        for start, end, _, told in merged:
-            if not told:
-                self._handle.registerTimer(start // 1000 + 1)
-            self._handle.registerTimer((end + self._keep) // 1000 + 1)
+        self._wake(merged)
         yield from ()
 
+    def _wake(self, stretches: list) -> None:
+        """One timer, for what is due next; when it goes off it sets the one after."""
+        self._handle.registerTimer(min(end + self._keep if told else start for start, end, _, told in stretches) // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, due, stay = 1000 * timerValues.getCurrentWatermarkInMs(), [], []
         for start, end, first, told in self._read():
@@ -91,6 +95,7 @@ class Sightings(StatefulProcessor):
                 stay.append((start, end, first, told))
         if stay:
             self._state.put(stay)
+            self._wake(stay)
         else:
             self._state.clear()
         if due:
@@ -104,8 +109,8 @@ def seen_lately(items: DataFrame, keys: list[str], item_id: str, time: str, keep
     ``items`` is a stream with a timestamp ``time``; keys are strings and may be null.
     ``keep`` and ``delay`` are texts like ``1 hour``. Rows without a time are left out.
     Messages of one time are told apart by the smaller id. Each task merges the rows of an
-    item before the shuffle, so an item with a third of all messages sends a few stretches
-    per task. Rows that come more than ``delay`` late are dropped unless a timely one of
+    item before the shuffle, over batches too, so an item with a third of all messages sends
+    a few stretches per task. Rows that come more than ``delay`` late are dropped unless a timely one of
     their stretch travels with them.
     """
     spark = items.sparkSession
@@ -116,9 +121,20 @@ def seen_lately(items: DataFrame, keys: list[str], item_id: str, time: str, keep
     rows = rows.withWatermark("_at", delay).select(*keys, at.alias("start_us"), at.alias("end_us"), "first_id")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             # a filter in the plan would sink below the watermark, which rows without a key move on as well
-            yield _stretches(batch[batch["start_us"].notna() & batch[keys].notna().any(axis=1)], keys, keep_us)
+            held.append(_stretches(batch[batch["start_us"].notna() & batch[keys].notna().any(axis=1)], keys, keep_us))
+            size += len(held[-1])
+            if size > HELD_ROWS:
+                held = [_stretches(pd.concat(held), keys, keep_us)]
+                size = len(held[0])
+                # where merging saves little, rows go on
+                if size > HELD_ROWS // 2:
+                    yield held[0]
+                    held, size = [], 0
+        if held:
+            yield _stretches(pd.concat(held), keys, keep_us)
 
     kinds = ", ".join(f"{k} string" for k in keys)
     few = rows.mapInPandas(merge, f"{kinds}, {_STRETCH}")

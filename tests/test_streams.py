@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from gleanwork.session import fresh_path
-from gleanwork.streaming.seen import _stretches, seen_lately, seen_lately_batch, write_seen
+from gleanwork.streaming.seen import Sightings, _stretches, seen_lately, seen_lately_batch, write_seen
 
 SCHEMA = "kind string, item string, id string, at timestamp"
 START = dt.datetime(2024, 5, 1)
@@ -82,3 +82,39 @@ def test_a_task_sends_few_rows_of_a_hot_item():
     assert len(_stretches(apart, ["k"], 5)) == 1000
     inside = pd.DataFrame({"k": ["h"] * 3, "start_us": [0, 10, 100], "end_us": [200, 20, 300], "first_id": list("abc")})
     assert _stretches(inside, ["k"], 5).values.tolist() == [["h", 0, 300, "a"]]
+
+
+def test_an_item_sets_one_timer():
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.rows = [], []
+
+        def getListState(self, name, schema):
+            return self
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows)
+        put = lambda self, rows: setattr(self, "rows", rows)
+        clear = lambda self: setattr(self, "rows", [])
+
+    class Times:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    handle, item = Handle(), Sightings(["k"], 5_000)
+    item.init(handle)
+    times = [0, 100_000, 200_000]
+    rows = pd.DataFrame({"start_us": times, "end_us": times, "first_id": ["a", "b", "c"]})
+    list(item.handleInputRows(("x",), iter([rows]), Times(0)))
+    assert handle.timers == [1]
+    told = []
+    for _ in range(9):
+        if handle.timers:
+            at = handle.timers.pop()
+            told += [v for out in item.handleExpiredTimer(("x",), Times(at), None) for v in out["first_id"]]
+    assert told == ["a", "b", "c"] and handle.rows == []
