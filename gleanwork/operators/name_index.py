@@ -6,8 +6,8 @@ and a shorter one only if some piece begins with it. The index keeps postings (p
 folders by a hash of the piece, and the number of names per piece. Names that come and go
 are signed rows of a new run; a lookup adds them up.
 
-A lookup takes the rarest pieces of each term, reads the folders of these pieces alone,
-intersects their postings, and tests the names that are left.
+A lookup takes the rarest piece of each term, reads the folders of these pieces alone, and
+tests the names in their postings.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from gleanwork.session import stage, staged_metrics
 from gleanwork.sinks.runs import Runs, State
 
 GRAM = 4
-# Pieces of a term whose postings are intersected.
-RAREST = 3
 PARTS = 64
 
 
@@ -97,7 +95,7 @@ class NameIndex:
         return self._runs.stored(name, self._runs.state()).filter(F.col("part").isin(touched))
 
     def _term_pieces(self, terms: DataFrame) -> DataFrame:
-        """Staged ``q, t, piece, n``: the rarest pieces of longer terms, all that a shorter one begins."""
+        """Staged ``q, t, piece, n``: the rarest piece of longer terms, all that a shorter one begins."""
         long = terms.filter(F.char_length("t") >= GRAM).select("q", "t", F.explode(_full_grams(F.col("t"))).alias("piece"))
         long = stage(long, "term_pieces")
         counts = self._read("pieces", long).groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 0")
@@ -105,7 +103,7 @@ class NameIndex:
         # a piece that no name has rules its term out
         known = split_join(long, counts, ["piece"], ["q"], key_load(long, ["piece"]), "left")
         ranked = known.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("_place", F.row_number().over(by_rarity))
-        chosen = ranked.filter(F.col("_place") <= RAREST).drop("_place")
+        chosen = ranked.filter(F.col("_place") == 1).drop("_place")
         short = terms.filter((F.char_length("t") < GRAM) & (F.col("t") != ""))
         every = self._runs.stored("pieces", self._runs.state()).groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 0")
         starts = every.select("piece", "n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.char_length("piece"), F.lit(GRAM - 1))), lambda i: F.substring("piece", 1, i))).alias("t"))
@@ -121,21 +119,18 @@ class NameIndex:
         if not self._runs.state().number:
             return self._spark.createDataFrame([], "q string, id bigint")
         pieces = self._term_pieces(terms)
-        needed = pieces.groupBy("q", "t").agg(F.count(F.lit(1)).alias("_all"), F.min("n").alias("_least"))
-        possible = needed.filter("_least > 0").select("q", "t", "_all")
-        wanted = pieces.join(possible.select("q"), "q", "left_semi")
-        wanted = stage(wanted, "wanted_pieces")
+        # the rarest piece of a longer term, any that a shorter one begins; a piece that no name has rules its term out
+        wanted = stage(pieces.filter("n > 0").select("q", "t", "piece"), "wanted_pieces")
         postings = self._read("postings", wanted).join(wanted.select("piece").distinct(), "piece", "left_semi")
         here = postings.groupBy("piece", "id").agg(F.sum("sign").alias("sign")).filter("sign > 0").select("piece", "id")
+        names = self.names()
+        # names go with their postings, so that a candidate is tested where it arises and never moved
+        named = stage(here.join(names, "id").select("piece", "id", F.lower("name").alias("name")), "postings")
         # a common piece of many terms is heavy on both sides
         load = key_load(wanted, ["piece"], rows_per_task)
-        heavy = key_load(stage(here, "postings"), ["piece"], rows_per_task)
-        met = split_join(wanted.select("q", "t", "piece"), here, ["piece"], ["q"], load, right_spread=["id"], right_load=heavy)
-        counted = met.groupBy("q", "t", "id").agg(F.count(F.lit(1)).alias("_met"))
-        # a longer term needs all its chosen pieces; any piece that a shorter one begins will do
-        both = counted.join(possible.select("q", "_all"), "q").filter((F.char_length("t") < GRAM) | (F.col("_met") == F.col("_all")))
-        names = self.names()
-        found = both.select("q", "t", "id").join(names, "id").filter(F.contains(F.lower("name"), F.col("t"))).select("q", "id").distinct()
+        heavy = key_load(named, ["piece"], rows_per_task)
+        met = split_join(wanted, named, ["piece"], ["q"], load, right_spread=["id"], right_load=heavy)
+        found = met.filter(F.contains("name", F.col("t"))).select("q", "id").distinct()
         if not staged_metrics(terms)["empty"]:
             return found
         return found.unionByName(names.select(F.lit("").alias("q"), "id").distinct())

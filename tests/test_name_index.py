@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from gleanwork.operators import name_index
 from gleanwork.operators.name_index import NameIndex
 from gleanwork.session import fresh_path
 
@@ -65,3 +66,20 @@ def test_a_lookup_reads_only_the_folders_of_its_pieces(spark):
     filters = plan[plan.index("PartitionFilters") :].split("\n")[0]
     assert "part#" in filters and "run#" in filters
     assert [r.id for r in index.lookup(spark.createDataFrame([("ame1234",)], "q string")).collect()] == [1234]
+
+
+def test_a_long_term_is_looked_up_by_one_piece(spark, monkeypatch):
+    wanted, stage = [], name_index.stage
+
+    def seen(df, label, **metrics):
+        out = stage(df, label, **metrics)
+        if label == "wanted_pieces":
+            wanted.extend(row["q"] for row in out.collect())
+        return out
+
+    monkeypatch.setattr(name_index, "stage", seen)
+    index = name_index.NameIndex(spark, fresh_path(spark, "index"))
+    index.update(added=spark.createDataFrame([(1, "one/Red-bolt"), (2, "two/red-bolts"), (3, "red")], "id bigint, name string"))
+    terms = spark.createDataFrame([("red-bolt",), ("zzzzz",)], "q string")
+    assert sorted(map(tuple, index.lookup(terms).collect())) == [("red-bolt", 1), ("red-bolt", 2)]
+    assert wanted == ["red-bolt"]
