@@ -752,11 +752,11 @@ def get_code_log(spark, sf):
 
 
 def _zip_repository(key: tuple, files: pd.DataFrame) -> pd.DataFrame:
-    """An archive of a repository's files, or something else where its state is bad."""
+    """An archive of a repository's files, or something else where its state is bad; a missing text is an empty file."""
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
         for entry, content in zip(files["entry"], files["content"]):
-            archive.writestr(entry, content)
+            archive.writestr(entry, "" if pd.isna(content) else content)
     content = buffer.getvalue() if key[1] == "good" else b"no archive"
     return pd.DataFrame({"full_name": [key[0]], "content": [content]})
 

@@ -282,3 +282,15 @@ def test_archives_are_made_a_few_at_a_time():
     made = list(_zip_texts(iter([docs])))
     assert [len(batch) for batch in made] == [500, 500, 200]
     assert sum((batch.column("doc_id").to_pylist() for batch in made), []) == list(range(1_200))
+
+
+def test_a_missing_text_is_an_empty_file(tmp_path):
+    import io
+    import zipfile
+
+    from checks.queries import _zip_repository
+
+    files = pd.DataFrame({"entry": ["a.txt", "b.txt"], "content": [None, "text"]})
+    made = _zip_repository(("own/rep", "good"), files)
+    with zipfile.ZipFile(io.BytesIO(made["content"][0])) as archive:
+        assert {name: archive.read(name) for name in archive.namelist()} == {"a.txt": b"", "b.txt": b"text"}
