@@ -111,6 +111,21 @@ HTML = """
 """
 
 
+def test_a_result_is_written_once_per_request_in_a_row(spark):
+    """The output grows with requests times results, so it is made by all tasks and in runs that take little room."""
+    from itertools import groupby
+
+    from gleanwork.session import task_count
+
+    cat = spark.createDataFrame([(i, f"own/ring-{i}", f"u{i}") for i in range(40)], "rank int, full_name string, html_url string")
+    asked = spark.createDataFrame([(i, "ring-") for i in range(50)], "req_id int, q string")
+    for made, column, n in ((catalog.find_repo(asked, cat), "rank", 40), (catalog.numbered_list(asked, cat), "line_no", 41)):
+        values = [row[column] for row in made.collect()]
+        assert len(values) == 50 * n
+        assert len(list(groupby(values))) == n
+        assert made.rdd.getNumPartitions() == task_count(spark)
+
+
 def test_extract_links(spark):
     table = spark.createDataFrame([(1, "https://h.org/d/p", HTML), (2, "https://h.org/d/p", "none"), (3, "https://h.org/", None)], "page_id int, url string, html string")
     got = [r["abs_url"] for r in links.extract_links(table).collect()]
