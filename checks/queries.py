@@ -816,11 +816,16 @@ def get_code_ingested(spark, sf):
     return stored.select("full_name", "fetch_mode", "branch", F.concat_ws("/", "dir", "file").alias("path"), "status", F.sha2("content", 256).alias("digest"))
 
 
+def _docs_pages(spark, sf) -> DataFrame:
+    """The pages as a written table, as a run reads them several times."""
+    return stage(fixture(spark, sf, "f_docs"), "docs_pages")
+
+
 def _docs_run(spark, sf):
     return get_docs(
         read_requests(fixture(spark, sf, "f_messages"), ["msg_id"]).withColumnRenamed("msg_id", "req_id"),
         fixture(spark, sf, "f_run_settings"),
-        fixture(spark, sf, "f_docs"),
+        _docs_pages(spark, sf),
     )
 
 
@@ -837,7 +842,7 @@ def _odd_docs_run(spark, sf):
     settings = fixture(spark, sf, "f_run_settings")
     for name in ("use_chrome", "use_firefox"):
         settings = settings.withColumn(name, F.when(some, F.lit(False)).otherwise(F.col(name)))
-    return get_docs(requests.withColumn("arg", arg), settings, fixture(spark, sf, "f_docs"))
+    return get_docs(requests.withColumn("arg", arg), settings, _docs_pages(spark, sf))
 
 
 @query

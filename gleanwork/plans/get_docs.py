@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,17 +33,22 @@ class DocsRun:
     listed: DataFrame
     starts: DataFrame
 
+    @cached_property
+    def _stored(self) -> DataFrame:
+        """The pages as a written table: their texts are looked up once for all that is stored."""
+        return stage(self.pages, "saved")
+
     def write(self, out: str, parts: int | None = None) -> None:
         """Store pages, manifests, ingested files and the run log below ``out``.
 
         Pages and manifests of a second run take the place of equal ones; files and log are
         appended, as each run is an attempt of its own.
         """
-        pages = self.pages.withColumnRenamed("folder", "host")
+        pages = self._stored.withColumnRenamed("folder", "host")
         upsert(pages, f"{out}/pages", "host", ["host", "key"], parts)
         merge_manifest(self.listed, self.starts, f"{out}/manifests", parts)
         # without a fallback address a page that is at hand is a local file
-        files = self.pages.select(F.col("folder").alias("full_name"), F.concat("key", F.lit(".html")).alias("file"), F.col("html").alias("content"))
+        files = self._stored.select(F.col("folder").alias("full_name"), F.concat("key", F.lit(".html")).alias("file"), F.col("html").alias("content"))
         ingest_documents(files.withColumn("status", F.lit("local")), f"{out}/ingested", "full_name", parts)
         write_run_log(self.log, f"{out}/log")
 

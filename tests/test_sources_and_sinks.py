@@ -294,3 +294,43 @@ def test_a_missing_text_is_an_empty_file(tmp_path):
     made = _zip_repository(("own/rep", "good"), files)
     with zipfile.ZipFile(io.BytesIO(made["content"][0])) as archive:
         assert {name: archive.read(name) for name in archive.namelist()} == {"a.txt": b"", "b.txt": b"text"}
+
+
+def _counted(df, seen):
+    """Rows as they are, each added to an accumulator when it is read."""
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(count, df.schema)
+
+
+def test_page_texts_pass_one_join(spark, sf_dir):
+    from checks.fixtures import fixture
+
+    lines = fixture(spark, sf_dir, "f_docs")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    at = max((i for i, line in enumerate(lines) if "Project [" in line and "html#" in line), key=lambda i: depth[i])
+    joins, level = 0, depth[at]
+    for i in range(at, -1, -1):
+        if depth[i] < level:
+            level = depth[i]
+            joins += lines[i].lstrip(" :+-").startswith("Join")
+    assert joins == 1
+
+
+def test_page_texts_are_looked_up_once_for_all_writes(spark):
+    from gleanwork.plans.get_docs import DocsRun
+
+    seen, out = spark.sparkContext.accumulator(0), fresh_path(spark, "docs")
+    pages = spark.createDataFrame([("h", "k1", 1, "u1", "x"), ("h", "k2", 2, "u2", None)], "folder string, key string, page_id int, url string, html string")
+    listed = spark.createDataFrame([("h", "u1"), ("h", "u2")], "host string, url string")
+    log = spark.createDataFrame([("r", 1)], "run_id string, step int")
+    run = DocsRun(log, listed, _counted(pages, seen), log, listed, listed.limit(1))
+    run.write(out, parts=2)
+    run.write(out, parts=2)
+    assert seen.value == 2
+    assert sorted(r["key"] for r in tables.read_table(spark, f"{out}/pages").collect()) == ["k1", "k2"]
+    assert tables.read_table(spark, f"{out}/ingested").count() == 4
