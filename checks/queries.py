@@ -648,6 +648,8 @@ def _stored_files(spark, sf) -> FileStore:
     files = fixture(spark, sf, "f_files").select(
         "full_name", F.concat_ws("/", "dir", "file").alias("path"), F.col("content").cast("binary").alias("content"), "supported"
     )
+    # written once, as each store reads them again
+    files = stage(files, "given_files")
     again = files.filter("supported")
     again = again.withColumn("content", F.when(F.col("path").contains("/src/"), F.concat("content", F.lit("\n2").cast("binary"))).otherwise(F.col("content")))
     mirrored = files.filter("not supported").withColumn("path", F.concat("path", F.lit(".copy")))

@@ -334,3 +334,15 @@ def test_page_texts_are_looked_up_once_for_all_writes(spark):
     assert seen.value == 2
     assert sorted(r["key"] for r in tables.read_table(spark, f"{out}/pages").collect()) == ["k1", "k2"]
     assert tables.read_table(spark, f"{out}/ingested").count() == 4
+
+
+def test_given_files_are_made_once_for_all_writes(spark, sf_dir, monkeypatch):
+    from checks import queries
+
+    seen = spark.sparkContext.accumulator(0)
+    files = spark.createDataFrame(
+        [("a/b", "/r", f"f{i}", f"text {i}", i % 2 == 0) for i in range(6)], "full_name string, dir string, file string, content string, supported boolean"
+    )
+    monkeypatch.setattr(queries, "fixture", lambda *_: _counted(files, seen))
+    assert queries._stored_files(spark, sf_dir).read().count() == 6
+    assert seen.value == 6
