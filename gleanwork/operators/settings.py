@@ -16,4 +16,5 @@ def resolve_settings(requests: DataFrame, settings: DataFrame, key: str = "req_i
         fallback = F.lit(default).cast(types[name])
         stored = F.col(name).cast(types[name]) if name in settings.columns else None
         resolved.append((fallback if stored is None else F.coalesce(stored, fallback)).alias(name))
-    return requests.join(settings, key, "left").select(*requests.columns, *resolved)
+    # a row per request, far smaller in its files than in memory: never a broadcast
+    return requests.join(settings.hint("merge"), key, "left").select(*requests.columns, *resolved)

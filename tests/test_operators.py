@@ -1,6 +1,7 @@
 """Operators against brute force on small tables, with heavy keys forced."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -254,6 +255,69 @@ def test_every_heavy_key_is_spread(spark):
     assert joined.filter("j = 2 * k").count() == joined.count() == 4500
 
 
+def _read_for_broadcast(df):
+    """Columns of the files that are read for broadcasts."""
+    found, at = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        at = None if at is not None and depth <= at else at
+        if "BroadcastExchange" in line:
+            at = depth if at is None else at
+        elif at is not None and "FileScan" in line:
+            found += re.findall(r"(\w+)#", line.split("]")[0])
+    return found
+
+
+def test_names_are_never_a_broadcast(spark, tmp_path):
+    """Files of names are small, their rows are not, and a broadcast passes through the driver."""
+    names = spark.range(3000).selectExpr("id rank", "concat('own', id % 9, '/ring-', id % 50) full_name", "concat('https://x/', id % 9) html_url")
+    names.write.parquet(str(tmp_path / "names"))
+    cat = spark.read.parquet(str(tmp_path / "names"))
+    asked = spark.createDataFrame([(1, "own3/ring-3"), (2, "wn5/ring-4"), (3, "ring-49"), (4, "zzz")], "req_id int, q string")
+    found = catalog.find_repo(asked, cat)
+    status = catalog.request_status(asked, cat)
+    lines = catalog.numbered_list(asked, cat)
+    hits = catalog.name_search(asked.select("q"), cat)
+    for made in (found, status, lines, hits):
+        assert not {"full_name", "html_url", "rank"} & set(_read_for_broadcast(made))
+    # the few terms still are one, so the pieces of names stay where they are
+    assert "piece" in _read_for_broadcast(hits)
+    plain = names.toPandas()
+    for q in ("wn5/ring-4", "ring-49"):
+        want = sorted(plain[plain["full_name"].str.contains(q, regex=False)]["rank"])
+        assert sorted(r["rank"] for r in hits.filter(F.col("q") == q).collect()) == want
+    assert {r["req_id"]: r["n_results"] for r in status.collect()} == {1: 1, 2: hits.filter("q = 'wn5/ring-4'").count(), 3: 60, 4: 0}
+
+
+def test_settings_are_never_a_broadcast(spark, tmp_path):
+    spark.range(2000).selectExpr("id req_id", "'key' github_api_key", "true use_api").write.parquet(str(tmp_path / "settings"))
+    got = resolve_settings(spark.range(2500).selectExpr("id req_id"), spark.read.parquet(str(tmp_path / "settings")))
+    assert not _read_for_broadcast(got)
+    assert got.filter("github_api_key = 'key'").count() == 2000 and got.count() == 2500
+
+
+def test_catalog_and_settings_are_moved_by_key_in_inputs(spark, tmp_path):
+    from checks.fixtures import fixture
+    from checks.queries import QUERIES
+
+    made = {
+        "part": "id p_partkey, concat('ring ', id % 7) p_name, concat('Brand#', id % 5) p_brand, 'PROMO' p_type, 1 p_size, 1D p_retailprice",
+        "customer": "id c_custkey, concat('c', id) c_name, 9 c_nationkey, 1D c_acctbal, 'FURNITURE' c_mktsegment",
+        "conversations": "id conv_id, 0L turn, 'user' role, concat('text ', id) text",
+        "pages": "id page_id, concat('https://a.example.com/', id) url, '' html",
+        "events": "id event_id, timestamp_ntz'2024-01-01 00:00:00' ts, id user_id, 'view' event_type, 1D value, '' props",
+    }
+    for name, columns in made.items():
+        spark.sql(f"select {columns} from range(60)").write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("f_requests", "f_messages", "f_timed_messages", "f_run_settings"):
+        got = fixture(spark, str(tmp_path), name)
+        assert not {"p_partkey", "c_custkey"} & set(_read_for_broadcast(got)), name
+        assert got.count() == 60
+    firsts = QUERIES["first_by_rank"](spark, str(tmp_path))
+    assert not {"p_partkey", "c_custkey"} & set(_read_for_broadcast(firsts))
+    assert firsts.filter("rank = req_id % 35").count() == firsts.count() == 60
+
+
 def test_first_by_rank_cuts_hits_before_its_sort(spark):
     rows = [(i % 3 or None, None if i % 7 == 0 else 100 - i, f"o/{i % 2}") for i in range(60)]
     hits = spark.createDataFrame(rows, "req_id int, rank int, full_name string")
