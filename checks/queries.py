@@ -765,7 +765,9 @@ def _zip_repository(key: tuple, files: pd.DataFrame) -> pd.DataFrame:
 
 
 def _save_repositories(spark, sf, folder: str) -> None:
-    """Archives ``folder/owner/name.zip`` of all repositories whose archive is not missing."""
+    """Archives ``folder/owner/name.zip`` of all repositories whose archive is not missing; the folder is there without any."""
+    store, inner = open_store(folder)
+    store.create_dir(inner, recursive=True)
     entry = F.concat(F.substring(F.col("dir"), F.length("root") + 2, F.lit(1 << 20)), F.lit("/"), "file")
     files_ = fixture(spark, sf, "f_files").join(fixture(spark, sf, "f_archive_state").filter("state <> 'missing'"), "full_name")
     packed = files_.select("full_name", "state", entry.alias("entry"), "content").groupBy("full_name", "state").applyInPandas(_zip_repository, "full_name string, content binary")

@@ -145,9 +145,10 @@ class _Work:
         self.piece = int(options.get("pieceBytes", PIECE_BYTES))
         self.settle = float(options.get("settleSeconds", 0))
 
-    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Share | None) -> Iterator[pa.RecordBatch]:
+        """Rows of a share; Spark gives None in place of a plan without shares."""
         held, size = [], 0
-        for path, start, end in partition.ranges:
+        for path, start, end in partition.ranges if partition is not None else []:
             for row in type(self).rows(path, start, end, self.piece):
                 held.append(row)
                 size += len(row[4] or b"")

@@ -123,3 +123,31 @@ def test_shares():
     assert shares([], 100, True) == []
     covered = [r for s in shares(files, 64, False) for r in s.ranges]
     assert covered == [("a", 0, 250), ("b", 0, 0), ("c", 0, 90)]
+
+
+def test_an_empty_folder_has_no_rows(formats, tmp_path):
+    for kind in ("archives", "folders"):
+        df = formats.read.format(kind).option("path", str(tmp_path)).load()
+        assert df.columns == ["path", "entry", "n", "piece", "content", "problem"] and df.collect() == []
+
+
+def test_requests_whose_archives_are_all_missing(spark, tmp_path):
+    """Every repository has a row of a small size, which makes its archive a missing one."""
+    from checks.queries import QUERIES
+
+    tables = {
+        "part": ("p_partkey int, p_name string, p_brand string, p_type string, p_size int, p_retailprice double", [(i, f"part {i}", "Brand#1", "PROMO", 1, 1.0) for i in range(12)]),
+        "customer": ("c_custkey int, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", [(i, "c", 20 + i // 6, 5000.0, "BUILDING") for i in range(12)]),
+        "region": ("r_regionkey int, r_name string", [(0, "r")]),
+        "pages": ("page_id long, url string, html string", [(i, f"https://a.org/{i}", "") for i in range(12)]),
+        "conversations": ("conv_id long, turn int, role string, text string", [(i, 0, "user", "t") for i in range(12)]),
+        "documents": ("doc_id long, text string, lang string, source string, n_chars long", [(i, f"text {i}", "en", "web", 1000) for i in range(12)]),
+        "labels": ("doc_id long, quality int, toxic int", [(0, 1, 0)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    status = QUERIES["get_code_answered_status"](spark, str(tmp_path))
+    found = {r.req_id: (r.fetch_mode, r.status, r.attempted) for r in status.collect()}
+    assert found == {"0-0": ("zip", "missing_archive", 0), "1-0": ("zip", "list", 0), "2-0": ("zip", "not_found", 0), "6-0": ("api", "download", 1), "7-0": ("api", "list", 0), "8-0": ("api", "not_found", 0)}
+    ingested = QUERIES["get_code_ingested"](spark, str(tmp_path))
+    assert [(r.full_name, r.fetch_mode, r.status) for r in ingested.collect()] == [("brand1/part-6", "api", "local")]
