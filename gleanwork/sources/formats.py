@@ -2,7 +2,7 @@
 
 ``archives`` reads the zip files below a folder, ``folders`` the files themselves, each as
 rows ``path, entry, n, piece, content, problem``. Only names and lengths pass through the
-driver. An archive is cut into byte ranges; a task takes the entries that begin in its range,
+driver, a slice at a time, and are kept packed, at some ten bytes a file. An archive is cut into byte ranges; a task takes the entries that begin in its range,
 so one large archive is unpacked by many tasks, and many small ones share a task. An entry
 comes in pieces of ``pieceBytes``, so it may be larger than a row.
 
@@ -14,10 +14,12 @@ Options: ``path``; ``partitionBytes`` (128 MB); ``pieceBytes`` (64 MB); ``settle
 
 from __future__ import annotations
 
+import itertools
+import pickle
 import time
 import zipfile
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from gleanwork.sources.archives import opened, safe_name
-from gleanwork.sources.storage import folder_entries, open_store
+from gleanwork.sources.storage import LISTING_SLICE, folder_entries, open_store
 
 ENTRY_SCHEMA = "path string, entry string, n bigint, piece int, content binary, problem string"
 _ARROW = pa.schema(
@@ -43,6 +45,8 @@ PIECE_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 # A file costs at least as much as this many bytes, so that a task does not get too many.
 OPEN_BYTES = 1 << 20
+# With more tasks than this small ones are put together, as each takes memory of the driver.
+MANY_SHARES = 2_000
 
 
 @dataclass
@@ -56,25 +60,37 @@ class Found:
 
 @dataclass
 class Share(InputPartition):
-    """Byte ranges ``path, start, end`` of one task; ``end`` is the file's own where it is not cut."""
+    """Byte ranges of one task, packed; ``size`` is the length of its files, or of what it takes of them."""
 
-    ranges: list[tuple[str, int, int]]
+    packed: list[bytes]
+    size: int
 
+    @property
+    def ranges(self) -> list[tuple[str, int, int]]:
+        """Byte ranges ``path, start, end``; ``end`` is the file's own where it is not cut."""
+        return [r for block in self.packed for r in zip(*pickle.loads(zlib.decompress(block)))]
 
-def listed(folder: str, suffix: str) -> list[Found]:
-    """Files below a folder, by path."""
-    out, todo = [], [folder.rstrip("/")]
+
+def _share(ranges: list[tuple[str, int, int]]) -> Share:
+    block = zlib.compress(pickle.dumps([*zip(*ranges)]), 1)
+    return Share([block], sum(end - start for _, start, end in ranges))
+
+
+def listed(folder: str, suffix: str) -> Iterator[Found]:
+    """Files below a folder, in slices by path: a folder may have more files than the driver can hold."""
+    todo = [folder.rstrip("/")]
     while todo:
         at = todo.pop()
-        for name, is_dir, length, changed in folder_entries(at):
-            if is_dir:
-                todo.append(f"{at}/{name}")
-            elif name.endswith(suffix):
-                out.append(Found(f"{at}/{name}", length, changed))
-    return sorted(out, key=lambda f: f.path)
+        entries = folder_entries(at)
+        while rows := sorted(itertools.islice(entries, LISTING_SLICE)):
+            for name, is_dir, length, changed in rows:
+                if is_dir:
+                    todo.append(f"{at}/{name}")
+                elif name.endswith(suffix):
+                    yield Found(f"{at}/{name}", length, changed)
 
 
-def shares(files: list[Found], size: int, cut: bool) -> list[Share]:
+def shares(files: Iterable[Found], size: int, cut: bool) -> list[Share]:
     """Tasks of about ``size`` bytes; ``cut`` files go to several if they are larger."""
     out, ranges, held = [], [], 0
     for file in files:
@@ -83,11 +99,22 @@ def shares(files: list[Found], size: int, cut: bool) -> list[Share]:
             end = min(start + size, file.length) if cut else file.length
             cost = max(end - start, min(OPEN_BYTES, size))
             if ranges and held + cost > size:
-                out.append(Share(ranges))
+                out.append(_share(ranges))
                 ranges, held = [], 0
             ranges.append((file.path, start, end))
             held += cost
-    return [*out, Share(ranges)] if ranges else out
+    return _together([*out, _share(ranges)] if ranges else out, size)
+
+
+def _together(some: list[Share], size: int) -> list[Share]:
+    """At most ``MANY_SHARES`` tasks, by putting neighbours together, unless they had more than ``size`` bytes then."""
+    most, out = -(-len(some) // MANY_SHARES), []
+    for share in some:
+        if out and len(out[-1].packed) < most and out[-1].size + share.size <= size:
+            out[-1] = Share([*out[-1].packed, *share.packed], out[-1].size + share.size)
+        else:
+            out.append(share)
+    return out
 
 
 def _members(path: str, start: int, end: int, piece: int) -> Iterator[tuple]:
@@ -174,9 +201,9 @@ class _StreamReader(_Work, DataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"changed": -1, "path": ""}
 
-    def _settled(self) -> list[Found]:
+    def _settled(self) -> Iterator[Found]:
         limit = time.time_ns() - int(self.settle * 1e9)
-        return [f for f in listed(self.folder, self.suffix) if f.changed <= limit]
+        return (f for f in listed(self.folder, self.suffix) if f.changed <= limit)
 
     def latestOffset(self) -> dict:
         last = max(((f.changed, f.path) for f in self._settled()), default=(-1, ""))
@@ -184,7 +211,7 @@ class _StreamReader(_Work, DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Share]:
         low, high = (start["changed"], start["path"]), (end["changed"], end["path"])
-        new = [f for f in self._settled() if low < (f.changed, f.path) <= high]
+        new = (f for f in self._settled() if low < (f.changed, f.path) <= high)
         return shares(new, self.size, self.cut)
 
     def commit(self, end: dict) -> None:

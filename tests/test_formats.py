@@ -4,13 +4,14 @@ import hashlib
 import io
 import os
 import random
+import tracemalloc
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from gleanwork.session import fresh_path
-from gleanwork.sources.formats import Found, register_formats, shares
+from gleanwork.sources.formats import Found, listed, register_formats, shares
 from gleanwork.sources.storage import list_files
 
 
@@ -125,6 +126,28 @@ def test_shares():
     assert covered == [("a", 0, 250), ("b", 0, 0), ("c", 0, 90)]
 
 
+def test_very_many_files_take_little_room_in_the_driver():
+    n = 300_000
+    files = (Found(f"/shared/archives/own{i % 10}/rep{i}.zip", i % 5_000, 0) for i in range(n))
+    tracemalloc.start()
+    made = shares(files, 128 << 20, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * n and len(made) <= 2_000
+    assert [r for s in made for r in s.ranges] == [(f"/shared/archives/own{i % 10}/rep{i}.zip", 0, i % 5_000) for i in range(n)]
+    large = shares((Found(str(i), 100, 0) for i in range(5_000)), 100, True)
+    assert [s.ranges for s in large] == [[(str(i), 0, 100)] for i in range(5_000)]
+
+
+def test_a_folder_is_listed_in_slices(tmp_path):
+    for i in range(50):
+        save(tmp_path, f"own{i % 3}/rep{i}.zip", b"x" * i)
+    (tmp_path / "own1" / "other").write_bytes(b"")
+    files = listed(str(tmp_path), ".zip")
+    assert iter(files) is files
+    assert sorted((f.path, f.length) for f in files) == sorted((str(tmp_path / f"own{i % 3}" / f"rep{i}.zip"), i) for i in range(50))
+
+
 def test_an_empty_folder_has_no_rows(formats, tmp_path):
     for kind in ("archives", "folders"):
         df = formats.read.format(kind).option("path", str(tmp_path)).load()
